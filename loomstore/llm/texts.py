@@ -9,7 +9,7 @@ import unicodedata
 
 #: A word: an unbroken run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-_FIELD = re.compile(r"\s*([^\W\d]\w*(?:[ .-]\w+){0,3})\s*:\s*(.*?)\s*", re.S)
+_FIELD = re.compile(r"\s*([^\W\d]\w*(?:[.-]\w+)*)\s*:\s*(.*?)\s*", re.S)
 _BREAKS = (re.compile(r"[\r\n]+"), re.compile(r"\|"), re.compile(r";"))
 
 
@@ -47,7 +47,7 @@ def fields(text: str) -> set[tuple[str, str]] | None:
     """The (key, value) pairs of a record, each in letters and digits only; None where ``text`` is no record.
 
     A record is a JSON object, or at least three ``key: value`` fields set apart by line breaks, ``|`` or ``;``,
-    with nothing but fields between the breaks.  Numbers keep their spelling.
+    with nothing but fields between the breaks, each key one name and used once.  Numbers keep their spelling.
     """
     bare = text.strip(" \t\r\n﻿​ ")
     if bare[:1] == "{" and bare[-1:] == "}":
@@ -65,7 +65,7 @@ def fields(text: str) -> set[tuple[str, str]] | None:
         parts = [p for p in breaks.split(bare) if p.strip()]
         if len(parts) >= 3:
             found = [_FIELD.fullmatch(p) for p in parts]
-            if all(found):
+            if all(found) and len({letters(m[1]) for m in found}) == len(found):
                 return {(letters(m[1]), letters(m[2])) for m in found}
     return None
 
