@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.llm import formats, survivors
+from loomstore.llm import formats, history, survivors
 from loomstore.sources.tables import read_table, scratch
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.History.open(read_table(spark, d, "memories"), store=False).known(read_table(spark, d, "memory_inputs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     g = formats.content_groups(read_table(spark, d, "memories"))
     return g.where("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
@@ -33,5 +37,5 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
-QUERIES = {"p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors}
 SQL: dict = {}
