@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.llm import formats, history, survivors
+from loomstore.llm import formats, history, pii, survivors
 from loomstore.sources.tables import read_table, scratch
 
 
@@ -13,6 +13,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return history.History.open(read_table(spark, d, "memories"), store=False).known(read_table(spark, d, "memory_inputs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(read_table(spark, d, "memories"), redact=False).select(F.col("id").alias("memory_id"), F.explode("kinds").alias("pii_kind"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The memories that hold personal information, with typed placeholders in its place."""
+    return pii.find(read_table(spark, d, "memories")).selectExpr("id AS memory_id", "array_join(kinds, ',') AS pii_kinds", "redacted")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     g = formats.content_groups(read_table(spark, d, "memories"))
     return g.where("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
@@ -37,5 +46,5 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors}
 SQL: dict = {}
