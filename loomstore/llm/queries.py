@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.llm import formats, history, pii, survivors
+from loomstore.llm import formats, history, neighbours, pii, survivors
 from loomstore.sources.tables import read_table, scratch
 
 
@@ -13,6 +13,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return history.History.open(read_table(spark, d, "memories"), store=False).known(read_table(spark, d, "memory_inputs"))
 
 
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, d, "dedup_decisions").select(F.col("decision_id").alias("id"), "embedding"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    n = _nearest(spark, d)
+    return n.select(F.least("id", "neighbour").alias("decision_a"), F.greatest("id", "neighbour").alias("decision_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).withColumnsRenamed({"id": "decision_id", "neighbour": "neighbour_id"})
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(read_table(spark, d, "memories"), redact=False).select(F.col("id").alias("memory_id"), F.explode("kinds").alias("pii_kind"))
 
@@ -46,5 +59,5 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors}
 SQL: dict = {}
