@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.llm import formats, history, neighbours, pii, survivors
+from loomstore.llm import encodings, formats, history, neighbours, pii, survivors
 from loomstore.sources.tables import read_table, scratch
 
 
@@ -59,5 +59,14 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled(read_table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with the mistakes found and the text as it was."""
+    return encodings.garbled(read_table(spark, d, "documents")).selectExpr("doc_id", "array_join(pairs, '; ') AS pairs", "restored")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors, "p10_found": p10_found, "p10_restored": p10_restored}
 SQL: dict = {}
