@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstore.llm import encodings, formats, history, neighbours, pii, survivors
+from loomstore.llm import encodings, formats, history, leaks, neighbours, packing, pii, survivors
 from loomstore.sources.tables import read_table, scratch
 
 
@@ -59,6 +59,27 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read_table(spark, d, "documents"), read_table(spark, d, "context_windows"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, d))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "heldout_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked, with the number of documents and the longest passage."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encodings.garbled(read_table(spark, d, "documents")).select("doc_id")
 
@@ -68,5 +89,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.garbled(read_table(spark, d, "documents")).selectExpr("doc_id", "array_join(pairs, '; ') AS pairs", "restored")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored}
 SQL: dict = {}
