@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loomstore.plans import integrity
+from loomstore.plans import integrity, memory
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (integrity,):
+for _module in (integrity, memory):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
 
