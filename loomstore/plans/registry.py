@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from loomstore.plans import integrity, memory
+from loomstore.plans import analysis, integrity, memory
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (integrity, memory):
+for _module in (integrity, memory, analysis):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "dedup_decisions"
