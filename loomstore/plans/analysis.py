@@ -359,8 +359,8 @@ def metric_rate(spark, d):
 
 
 @query(
-    _windows(7200, 1800) + """, s AS (SELECT "at", count(*) AS n, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS ratio FROM w GROUP BY "at"), f AS (SELECT *, ratio > 0.2 AS firing FROM s),
-g AS (SELECT *, sum(CASE WHEN NOT firing OR coalesce("at" - lag("at") OVER (ORDER BY "at"), 1800) > 1800 THEN 1 ELSE 0 END) OVER (ORDER BY "at") AS run FROM f)
+    _windows(7200, 1800) + """, s AS (SELECT "at", count(*) AS n, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS ratio FROM w GROUP BY "at"), f AS (SELECT *, ratio > 0.2 AS firing, coalesce("at" - lag("at") OVER (ORDER BY "at"), 1800) AS gap FROM s),
+g AS (SELECT *, sum(CASE WHEN NOT firing OR gap > 1800 THEN 1 ELSE 0 END) OVER (ORDER BY "at") AS run FROM f)
 SELECT "at", n, round(ratio, 6) AS ratio, firing AND "at" - min("at") FILTER (firing) OVER (PARTITION BY run) >= 3600 AS alert FROM g""",
     "",
 )
@@ -371,7 +371,8 @@ def alert_error_ratio(spark, d):
 
 @query(
     _windows(3600, 1800) + """, s AS (SELECT event_type, "at", count(*) > 12 AS firing FROM w GROUP BY ALL),
-g AS (SELECT *, sum(CASE WHEN NOT firing OR coalesce("at" - lag("at") OVER p, 1800) > 1800 THEN 1 ELSE 0 END) OVER p AS run FROM s WINDOW p AS (PARTITION BY event_type ORDER BY "at"))
+f AS (SELECT *, coalesce("at" - lag("at") OVER (PARTITION BY event_type ORDER BY "at"), 1800) AS gap FROM s),
+g AS (SELECT *, sum(CASE WHEN NOT firing OR gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY "at") AS run FROM f)
 SELECT event_type, "at", firing AND "at" - min("at") FILTER (firing) OVER (PARTITION BY event_type, run) >= 1800 AS alert FROM g""",
     "",
 )
