@@ -12,7 +12,8 @@ Not every suffix has to be stored.  A shared sketch of fixed size holds how freq
 all texts one order, rare first.  Two texts that share half of all their distinct sequences share at least half of
 either's; so if each keeps its first  n - ceil(n / 2) + m  suffixes in that order, the pair has at least m (or all
 its common ones, if fewer) among the kept.  This loses no pair, whatever the sketch says; m > 1 only thins out chance
-candidates.  A fingerprint more frequent than ``HOT`` is split over several buckets by the history's class id.
+candidates.  Inside a bucket 32 bits of the fingerprint are kept: what they confuse is thinned out by m and by the
+exact comparison.  A fingerprint more frequent than ``HOT`` is split over several buckets by the history's class id.
 """
 
 from __future__ import annotations
@@ -163,14 +164,14 @@ def _suffix_batches(sketch, buckets: int, new: bool):
             for t, k, salt, ask in rows:
                 bucket = ((k >> np.uint64(20)) + salt.astype(np.uint64) * _MUL[1]) % np.uint64(buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.astype(np.int32)), pa.array(k.view(np.int64)), pa.array(cid[t]), pa.array(born[t]), pa.array(half[t].astype(np.int32)), pa.array(ask)],
+                    [pa.array(bucket.astype(np.int32)), pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(cid[t]), pa.array(born[t]), pa.array(half[t].astype(np.int32)), pa.array(ask)],
                     names=["bucket", "key", "cid", "born", "half", "ask"],
                 )
 
     return run
 
 
-SUFFIX = "bucket int, key long, cid long, born long, half int, ask boolean"
+SUFFIX = "bucket int, key int, cid long, born long, half int, ask boolean"
 
 
 def suffixes(texts: DataFrame, sketch, buckets: int, new: bool) -> DataFrame:
