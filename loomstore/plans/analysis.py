@@ -416,8 +416,7 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL", "")
 def stream_windows(spark, d):
-    streams.run_once(streams.tumbling(_stream(spark, d, "events"), "ts", "1 hour", ["event_type"]), "loom_windows", "complete")
-    return spark.table("loom_windows").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
+    return streams.run_once(streams.tumbling(_stream(spark, d, "events"), "ts", "1 hour", ["event_type"]), "loom_windows", "complete").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
 @query(
@@ -426,21 +425,18 @@ y AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS
     "",
 )
 def stream_sessions(spark, d):
-    streams.run_once(streams.sessions(_stream(spark, d, "events"), "ts", "6 hours", ["user_id"]), "loom_sessions", "complete")
-    return spark.table("loom_sessions").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("opened"), "n")
+    return streams.run_once(streams.sessions(_stream(spark, d, "events"), "ts", "6 hours", ["user_id"]), "loom_sessions", "complete").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("opened"), "n")
 
 
 @query("SELECT DISTINCT coalesce(namespace, 'default') AS namespace, sha256(content) AS own_hash FROM memory_inputs WHERE content IS NOT NULL", "")
 def stream_dedup(spark, d):
-    streams.run_once(streams.first_contents(_stream(spark, d, "memory_inputs")).select("namespace", "own_hash"), "loom_dedup")
-    return spark.table("loom_dedup")
+    return streams.run_once(streams.first_contents(_stream(spark, d, "memory_inputs")).select("namespace", "own_hash"), "loom_dedup")
 
 
 @query("SELECT namespace, count(*) AS n, round(count(*) FILTER (verdict <> 'insert') / count(*)::DOUBLE, 6) AS dedup_ratio FROM dedup_decisions GROUP BY namespace", "")
 def stream_dedup_ratio(spark, d):
     s = streams.running_ratio(_stream(spark, d, "dedup_decisions").withColumnRenamed("verdict", "action"))
-    streams.run_once(s, "loom_ratio", "complete")
-    return spark.table("loom_ratio").select("namespace", "n", F.round("dedup_ratio", 6).alias("dedup_ratio"))
+    return streams.run_once(s, "loom_ratio", "complete").select("namespace", "n", F.round("dedup_ratio", 6).alias("dedup_ratio"))
 
 
 @query(f"SELECT id, created_at FROM m WHERE created_at > TIMESTAMP '2026-01-01'")

@@ -6,6 +6,7 @@ among the operators; in complete or update mode over all input they give the sam
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -30,11 +31,16 @@ def source(spark: SparkSession, folder: str, schema: StructType, files_per_trigg
     return r.parquet(folder)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Everything there is, then stop: into the memory table ``name``, or through ``each`` batch by batch."""
-    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/stream-{name}")
-    q = w.foreachBatch(each).start() if each else w.format("memory").queryName(name).start()
+def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Everything there is, then stop: the rows of the memory table, or each batch through ``each``.
+
+    Every run starts anew, with a checkpoint and a table of its own.
+    """
+    own = f"{name}_{uuid.uuid4().hex}"
+    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/stream-{own}")
+    q = w.foreachBatch(each).start() if each else w.format("memory").queryName(own).start()
     q.awaitTermination()
+    return None if each else stream.sparkSession.table(own)
 
 
 def first_contents(stream: DataFrame, ts: str = "arrived_at", late: str | None = None) -> DataFrame:
@@ -84,28 +90,34 @@ def last_hashes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("source_type", "source_id").transformWithStateInPandas(statefulProcessor=LastHash(), outputStructType=HASH_OUT, outputMode="Update", timeMode="None")
 
 
-class CachedOnce(StatefulProcessor):
-    """Marks whether a key was there within its time to live: the cache of embeddings and of namespaces."""
+class CacheEntry(StatefulProcessor):
+    """Hits and misses of one key: an entry is made by a miss and lives for ``ttl_us`` of event time."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("seen", "n long", ttlDurationMs=self.ttl_ms)
+        self.state = handle.getValueState("made", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n = sum(len(r) for r in rows)
-        held = self.state.get()[0] if self.state.exists() else 0
-        self.state.update((held + n,))
-        yield pd.DataFrame({"key": [key[0]], "hits": [n if held else n - 1], "misses": [0 if held else 1]})
+        made = self.state.get()[0] if self.state.exists() else None
+        hits = misses = 0
+        for t in sorted(int(t) for r in rows for t in r["ts_us"]):
+            if made is not None and t - made < self.ttl_us:
+                hits += 1
+            else:
+                made, misses = t, misses + 1
+        self.state.update((made,))
+        yield pd.DataFrame({"key": [key[0]], "hits": [hits], "misses": [misses]})
 
     def close(self) -> None:
         pass
 
 
-def cache_hits(stream: DataFrame, key: str, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Hits and misses per key of a cache whose entries live for ``ttl_ms`` of processing time."""
-    return stream.groupBy(F.col(key).alias("key")).transformWithStateInPandas(statefulProcessor=CachedOnce(ttl_ms), outputStructType="key string, hits long, misses long", outputMode="Update", timeMode="ProcessingTime")
+def cache_hits(stream: DataFrame, key: str, ts: str, ttl_s: int = 86_400) -> DataFrame:
+    """Hits and misses per key and micro-batch of a cache whose entries live for ``ttl_s`` after they are made (update mode)."""
+    timed = stream.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
+    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=CacheEntry(ttl_s * 1_000_000), outputStructType="key string, hits long, misses long", outputMode="Update", timeMode="None")
 
 
 def running_ratio(decided: DataFrame) -> DataFrame:
