@@ -41,6 +41,8 @@ SLICES = 16
 MATCHES = 4
 #: Occurrences beyond which a fingerprint is split over buckets.
 HOT = 50_000
+#: Suffixes of one fingerprint that a text is compared with at first; only texts that stay without a partner see the rest.
+MOST = 1000
 #: Suffixes aimed at per bucket.
 BUCKET_ROWS = 400_000
 
@@ -185,28 +187,35 @@ def _merged(a: tuple, b: tuple) -> tuple:
     return keys[order], np.concatenate([a[1], b[1]])[order]
 
 
-def bucket_hits(batch_rows: int):
-    """For one bucket: batches in the order of arrival, each looked up in the segments before it and in itself."""
+def bucket_hits(batch_rows: int, most: int | None):
+    """For one bucket: batches in the order of arrival, each looked up in the segments before it and in itself.
+
+    An interval of more than ``most`` suffixes gives the ``most`` with the smallest class ids, the same for every
+    fingerprint of a group of near copies, and a row (q, q, -1) that says so.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         key, cid, born = (table.column(c).to_numpy() for c in ("key", "cid", "born"))
         half, ask = table.column("half").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
         stored = np.flatnonzero(~ask)
         base = stored[born[stored] == 0]
-        base = base[np.argsort(key[base], kind="stable")]
+        base = base[np.lexsort((cid[base], key[base]))]
         segments = [(key[base], base)] if len(base) else []
         fresh, asked = stored[born[stored] > 0], np.flatnonzero(ask)
         fresh, asked = fresh[np.argsort(born[fresh], kind="stable")], asked[np.argsort(born[asked], kind="stable")]
-        out_q, out_h = [], []
+        out_q, out_h, cut = [], [], []
         a = s = 0
         while a < len(asked):
             last = born[asked[min(a + batch_rows, len(asked)) - 1]]
             a2, s2 = np.searchsorted(born[asked], last, "right"), np.searchsorted(born[fresh], last, "right")
             q, own = asked[a:a2], fresh[s:s2]
-            own = own[np.argsort(key[own], kind="stable")]
+            own = own[np.lexsort((cid[own], key[own]))]
             for keys, rows in [*segments, (key[own], own)]:
                 lo, hi = np.searchsorted(keys, key[q], "left"), np.searchsorted(keys, key[q], "right")
                 n = hi - lo
+                if most is not None and (n > most).any():
+                    cut.append(q[n > most])
+                    n = np.minimum(n, most)
                 which = np.repeat(np.arange(len(q)), n)
                 at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
                 h, qq = rows[at], q[which]
@@ -222,7 +231,8 @@ def bucket_hits(batch_rows: int):
         q = np.concatenate(out_q) if out_q else np.empty(0, np.int64)
         h = np.concatenate(out_h) if out_h else np.empty(0, np.int64)
         need = np.minimum(MATCHES, np.minimum(half[q], half[h]))
-        return pa.table({"q": cid[q], "h": cid[h], "need": need.astype(np.int32)})
+        more = np.unique(cid[np.concatenate(cut)]) if cut else np.empty(0, np.int64)
+        return pa.table({"q": np.concatenate([cid[q], more]), "h": np.concatenate([cid[h], more]), "need": np.concatenate([need, np.full(len(more), -1)]).astype(np.int32)})
 
     return run
 
@@ -279,20 +289,29 @@ class History:
         own = scratch(classes(rows), "batch")
         new = scratch(own.join(self.classes.select("cid"), "cid", "left_anti"), "new")
         sketch = spark.sparkContext.broadcast(self.sketch)
-        hits = (
-            self.suffixes.unionByName(suffixes(new, sketch, self.buckets, new=True))
-            .groupBy("bucket")
-            .applyInArrow(bucket_hits(batch_rows), "q long, h long, need int")
-        )
-        pairs = hits.groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("q", "h")
         texts = self.classes.select("cid", "words").unionByName(new.select("cid", "words"))
-        near = (
-            pairs.join(new.select(F.col("cid").alias("q"), F.col("words").alias("q_words")), "q")
-            .join(texts.select(F.col("cid").alias("h"), F.col("words").alias("h_words")), "h")
-            .select("q", "h", "q_words", "h_words")
-            .mapInArrow(_compare, "q long, h long")
-            .groupBy(F.col("q").alias("near_cid")).agg(F.lit(True).alias("near"))
-        )
+
+        def compared(asking: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+            """(near_cid of texts with a near partner, q of those that were not compared with all)."""
+            stored = self.suffixes.unionByName(suffixes(new, sketch, self.buckets, new=False))
+            asked = suffixes(asking, sketch, self.buckets, new=True).where("ask")
+            hits = stored.unionByName(asked).groupBy("bucket").applyInArrow(bucket_hits(batch_rows, most), "q long, h long, need int")
+            pairs = scratch(hits.groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need OR need < 0").select("q", "h", "need"), "pairs")
+            near = (
+                pairs.where("need >= 0").join(new.select(F.col("cid").alias("q"), F.col("words").alias("q_words")), "q")
+                .join(texts.select(F.col("cid").alias("h"), F.col("words").alias("h_words")), "h")
+                .select("q", "h", "q_words", "h_words")
+                .mapInArrow(_compare, "q long, h long")
+                .groupBy(F.col("q").alias("near_cid")).agg(F.lit(True).alias("near"))
+            )
+            return near, pairs.where("need < 0").select("q").distinct()
+
+        near, rest = compared(new, MOST)
+        near = scratch(near, "near")
+        rest = scratch(rest.join(near, F.col("q") == F.col("near_cid"), "left_anti"), "rest")
+        if not rest.isEmpty():
+            asking = new.join(rest.select(F.col("q").alias("cid")), "cid", "left_semi")
+            near = near.unionByName(compared(asking, None)[0])
         alone = new.select(F.col("cid").alias("new_cid"), "born").join(near, F.col("new_cid") == F.col("near_cid"), "left")
         ids = rows.select("cid", "input_id").join(alone, F.col("cid") == F.col("new_cid"), "left")
         return ids.where(F.col("new_cid").isNull() | F.col("near").isNotNull() | (F.col("input_id") > F.col("born"))).select("input_id").distinct()

@@ -26,6 +26,8 @@ K = len(LABELS)
 TRAIN_DOCUMENTS, TRAIN_ROUNDS = 4000, 8
 #: Alternations of chain sweeps and skip messages.
 LOOPS = 3
+#: Token places that one sweep holds at a time, but for a single longer text.
+CELLS = 400_000
 _TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)|\s+")
 _GIVEN = frozenset(GIVEN)
 _REACH = 4
@@ -197,7 +199,7 @@ def infer(u: np.ndarray, sizes: np.ndarray, edges: np.ndarray, model: Model, loo
         while at < len(which):
             longest = sizes[which[at]]
             end = at + 1
-            while end < len(which) and sizes[which[end]] <= longest * 1.15 + 4 and end - at < 512:
+            while end < len(which) and sizes[which[end]] <= longest * 1.15 + 4 and end - at < 512 and (end - at) * sizes[which[end]] < CELLS:
                 end += 1
             g = which[at:end]
             size = int(sizes[g].max())

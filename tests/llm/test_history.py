@@ -53,6 +53,18 @@ def test_known_against_brute_force(spark, monkeypatch):
     assert got == brute(old, new)
 
 
+def test_many_near_copies(spark, monkeypatch):
+    """Fingerprints with more texts than are compared at first: found among the first, or in the exact second turn."""
+    monkeypatch.setattr(H, "MOST", 5)
+    common = " ".join(f"c{i}" for i in range(12))
+    old = [("a", f"{common} x{i} y{i}") for i in range(60)] + [("a", f"{common} " + " ".join(f"z{i}_{k}" for k in range(14))) for i in range(60)]
+    new = [(i + 1, "a", f"{common} n{i} m{i}") for i in range(10)] + [(50 + i, "a", f"{common} " + " ".join(f"z{i} {k}" if k < 13 else "q" for k in range(14))) for i in range(60)] + [(500, "a", common + " " + " ".join(f"u{k}" for k in range(30)))]
+    h = spark.createDataFrame([(str(i), ns, t, 0, "") for i, (ns, t) in enumerate(old)], HIST)
+    got = {r.input_id for r in History.open(h, store=False).known(spark.createDataFrame([(*r, 0) for r in new], INPUT)).collect()}
+    want = brute(old, new)
+    assert got == want and 500 not in want and len(want) > 60
+
+
 def test_batches_add_up(spark):
     rng = random.Random(9)
     old = [("a", t) for t in texts(rng, 25)]
