@@ -69,21 +69,25 @@ def _score_block(limit: int):
 def similar(incoming: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
     """(ord, existing_id, score): up to k live memories of the same user and namespace at or above the namespace's threshold.
 
-    The store's texts of a (user, namespace) are dealt to blocks of bounded size, however many there are; each block
-    is one matrix product with the entries of its user and namespace.
+    The store's texts and the entries of a (user, namespace) are dealt to blocks of bounded size, however many there
+    are; each pair of blocks is one matrix product.
     """
     store = once(active(memories).select("id", "user_id", "namespace", "content")).where(F.col("content").isNotNull() & F.col("user_id").isNotNull())
-    sizes = store.groupBy("user_id", "namespace").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
-    asked = prepared(incoming).join(sizes, ["user_id", "namespace"]).select(
-        "user_id", "namespace", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("id"), "ord",
+    rows = prepared(incoming)
+    blocks = lambda name: (F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias(name)
+    pairs = rows.groupBy("user_id", "namespace").agg(blocks("turns"))
+    sizes = store.groupBy("user_id", "namespace").agg(blocks("blocks")).join(pairs, ["user_id", "namespace"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    asked = rows.join(sizes, ["user_id", "namespace"]).select(
+        "user_id", "namespace", every("blocks").alias("block"), part("ord", "turns").alias("turn"), F.lit(None).cast("string").alias("id"), "ord",
         C.buckets(F.col("content")).alias("buckets"), C.threshold(F.col("namespace")).alias("threshold"), F.lit(True).alias("ask"),
     )
-    pairs = prepared(incoming).select("user_id", "namespace").distinct()
-    stored = store.join(pairs, ["user_id", "namespace"], "left_semi").join(sizes, ["user_id", "namespace"]).select(
-        "user_id", "namespace", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", F.lit(None).cast("long").alias("ord"),
+    stored = store.join(sizes, ["user_id", "namespace"]).select(
+        "user_id", "namespace", part("id", "blocks").alias("block"), every("turns").alias("turn"), "id", F.lit(None).cast("long").alias("ord"),
         C.buckets(F.col("content")).alias("buckets"), F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("ask"),
     )
-    hits = stored.unionByName(asked).groupBy("user_id", "namespace", "block").applyInArrow(_score_block(k), "ord long, existing_id string, score double")
+    hits = stored.unionByName(asked).groupBy("user_id", "namespace", "block", "turn").applyInArrow(_score_block(k), "ord long, existing_id string, score double")
     w = Window.partitionBy("ord").orderBy(F.desc("score"), "existing_id")
     return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstore.operators.writes import at, pick_per_key
@@ -31,14 +31,21 @@ def problems(rows: DataFrame) -> DataFrame:
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """(source_type, source_id, content_hash, size_bytes, metadata, created_at, updated_at) of a whole log, in the order of (ts, ord)."""
-    by = Window.partitionBy(*KEY).orderBy("ts", "ord")
-    marked = log.withColumn("changed", ~F.col("content_hash").eqNullSafe(F.lag("content_hash").over(by)) | (F.row_number().over(by) == 1))
+    """(source_type, source_id, content_hash, size_bytes, metadata, created_at, updated_at) of a whole log, in the order of (ts, ord).
+
+    The hash last changed at the first row after the last one with another hash.  Both are found by aggregates, not by
+    sorting a resource's rows, so a resource that holds a third of the log is reduced in the map tasks.  A null hash is
+    a hash like any other.
+    """
     turn = F.struct("ts", "ord")
-    return marked.groupBy(*KEY).agg(
-        F.max_by("content_hash", turn).alias("content_hash"), F.max_by("size_bytes", turn).alias("size_bytes"), F.max_by("metadata", turn).alias("metadata"),
-        F.min("ts").alias("created_at"), F.max(F.when(F.col("changed"), F.col("ts"))).alias("updated_at"),
+    last = log.groupBy(*KEY).agg(
+        F.max_by("content_hash", turn).alias("content_hash"), F.max_by("size_bytes", turn).alias("size_bytes"), F.max_by("metadata", turn).alias("metadata"), F.min("ts").alias("created_at")
     )
+    rows = log.select(*KEY, "content_hash", turn.alias("turn")).join(last.select(*KEY, F.col("content_hash").alias("last_hash")), list(KEY))
+    same = F.col("content_hash").eqNullSafe(F.col("last_hash"))
+    other = rows.where(~same).groupBy(*KEY).agg(F.max("turn").alias("other"))
+    changed = rows.where(same).join(other, list(KEY), "left").where(F.col("other").isNull() | (F.col("turn") > F.col("other"))).groupBy(*KEY).agg(F.min("turn.ts").alias("updated_at"))
+    return last.join(changed, list(KEY)).select(*KEY, "content_hash", "size_bytes", "metadata", "created_at", "updated_at")
 
 
 def upsert(registry: DataFrame, changes: DataFrame, now: datetime) -> DataFrame:

@@ -53,7 +53,8 @@ def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str]) -> DataFram
 def holds(states: DataFrame, by: Sequence[str], for_s: int, step_s: int = 30) -> DataFrame:
     """``states`` (at, firing, ...) with ``alert``: firing at every step since ``for_s`` seconds or longer.
 
-    Steps that follow each other in the log without a gap in time count as one run.
+    Steps that follow each other in the log without a gap in time count as one run.  A series has a row per step, so
+    its length is bounded by the time covered, not by the rows logged.
     """
     w = Window.partitionBy(*by).orderBy("at") if by else Window.partitionBy(F.lit(1)).orderBy("at")
     broken = ~F.col("firing") | (F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(step_s)) > step_s)
@@ -68,13 +69,26 @@ def active_age(log: DataFrame, state: Column, by: Sequence[str], now: Column) ->
     return log.where(state).groupBy(*by).agg(F.max("ts").alias("last")).select(*by, (F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(F.col("last").cast("timestamp")) / 1e6).alias("age_s"))
 
 
-def nearest_rank(log: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value") -> DataFrame:
-    """Exact percentiles as the element number int(n * q) of the sorted values, and the median."""
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = log.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w) - 1).alias("i"), n.alias("n"))
-    picks = [F.max(F.when(F.col("i") == F.floor(F.col("n") * F.lit(q)), F.col(value))).alias(f"p{int(q * 100)}") for q in quantiles]
-    return ranked.groupBy(*by).agg(F.avg(F.when((F.col("i") == F.floor((F.col("n") - 1) / 2)) | (F.col("i") == F.floor(F.col("n") / 2)), F.col(value))).alias("median"), *picks)
+def nearest_rank(log: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value", pieces: int = 64) -> DataFrame:
+    """Exact percentiles as the element number int(n * q) of the sorted values, and the median.
+
+    Values are counted first.  Each series is then cut at approximate quantiles into pieces that are ranked apart, so
+    that no task sorts a whole series; a piece's first rank is the sum of the pieces before it.
+    """
+    counts = log.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    cuts = log.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    placed = counts.join(cuts, list(by)).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col(value)))).drop("cuts")
+    sums = placed.groupBy(*by, "piece").agg(F.sum("c").alias("own"))
+    before = sums.withColumn("first", F.sum("own").over(Window.partitionBy(*by).orderBy("piece")) - F.col("own")).drop("own")
+    w = Window.partitionBy(*by, "piece").orderBy(value)
+    ranked = placed.join(before, [*by, "piece"]).withColumn("to", F.col("first") + F.sum("c").over(w)).withColumn("from", F.col("to") - F.col("c"))
+
+    def at(i: Column) -> Column:
+        return F.max(F.when((F.col("from") <= i) & (i < F.col("to")), F.col(value)))
+
+    n = F.col("n")
+    picks = [at(F.floor(n * F.lit(q))).alias(f"p{int(q * 100)}") for q in quantiles]
+    return ranked.groupBy(*by).agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), *picks)
 
 
 def growth(snapshots: DataFrame) -> DataFrame:
