@@ -124,7 +124,7 @@ def relations_unified(relations: DataFrame, memory_id: str, link_type: str | Non
     return out.unionByName(r.where(F.col("target_id") == memory_id).withColumn("direction", F.lit("incoming"))).orderBy(F.desc("created_at"), "id", "direction")
 
 
-def ledger_json(rows: DataFrame, drop_nulls: bool = True) -> DataFrame:
+def as_json(rows: DataFrame, drop_nulls: bool = True) -> DataFrame:
     """Each row as one JSON text; null fields are left out, times are ISO texts."""
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(drop_nulls).lower(), "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("json"))
 

@@ -411,4 +411,4 @@ def link_type_check(spark, d):
 @query()
 def memory_json(spark, d):
     """Memories as one JSON text each."""
-    return reads.ledger_json(_store(spark, d))
+    return reads.as_json(_store(spark, d))
