@@ -362,14 +362,14 @@ def plausible(kind: str, span: str) -> bool:
     digits = sum(c.isdigit() for c in span)
     if kind == "name":
         parts = re.findall(r"[^\W\d_]{2,}", span)
-        return len(parts) >= 2 and not digits
+        return len(parts) >= 2 and not digits and "_" not in span
     if kind == "email":
         return _MAILBOX.search(span) is not None
     if kind == "phone":
         return digits >= 7
     if kind == "idnum":
         return digits >= 6
-    return digits >= 1 and any(c.isalpha() for c in span)
+    return digits >= 1 and re.search(r"[^\W\d_]{3,}", span) is not None
 
 
 #: Signs that end a sentence rather than a span.

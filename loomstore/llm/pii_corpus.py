@@ -32,7 +32,7 @@ _PLACE3 = ["dra", "fex", "gard", "hal", "jin", "kov", "lis", "mor", "nax", "pis"
 _NOUN = ["index", "queue", "cache", "shard", "worker", "bridge", "ledger", "policy", "parser", "router", "bucket", "snapshot", "handler", "token", "monitor", "gateway", "planner", "schema", "lease", "replica", "agent", "report"]
 _ADJ = ["slow", "stable", "manual", "frozen", "lazy", "hidden", "private", "shared", "global", "nightly", "signed", "broken", "legacy", "public", "temporary", "dense", "eager", "narrow"]
 _VERB = ["restarted", "copied", "rebuilt", "drained", "audited", "merged", "patched", "tuned", "rejected", "grouped", "sampled", "measured", "mirrored"]
-_WHEN = ["after the outage", "before the release", "under heavy load", "without a restart", "in the second region", "during the night", "at the weekly review", "since the last audit"]
+_WHEN = ["after the outage", "before the release", "under heavy load", "without a restart", "in the second region", "during the night", "at the weekly review", "since the last audit", "in read-only mode", "with reduced load", "outside working hours", "near the limit", "for every session", "while it was down"]
 _RU = ["индекс", "кэш", "журнал", "порог", "воркер", "узел", "снимок", "лимит", "граф", "реестр"]
 
 
@@ -51,6 +51,9 @@ class Maker:
     def digits(self, n: int) -> str:
         return "".join(self.one("0123456789") for _ in range(n))
 
+    def hex(self, n: int) -> str:
+        return "".join(self.one("0123456789abcdef") for _ in range(n))
+
     def product(self) -> str:
         return (self.one(_PLACE) + self.one(_PLACE2) + self.one(_PLACE3)).capitalize()
 
@@ -178,8 +181,8 @@ class Maker:
                 f"[{stamp} {self.num(10, 23)}:{self.num(10, 59)}] WARN {low} {a} {n} id={d(4)} cost=0.{d(2)} {v} {w}", f"Build {d(3)}-{d(2)}-{d(4)} passed and ticket {d(4)}-{d(4)} was {v}.", f"Epoch {self.num(1, 2)}{d(9)} marks the {a} {n} of run {stamp[:4]}-{d(2)}-{d(4)}-{d(2)}.",
                 f"Probe 10.{self.num(0, 255)}.{self.num(0, 255)}.{self.num(0, 99)}:{d(4)} answered in {d(3)} ms {w}.", f"The package {low}@{self.num(0, 40)}.{self.num(0, 40)}.{d(2)} was {v} {w}.", f"Connect with postgres://svc:hidden@db-{d(2)}.internal.invalid:5432/{low} {w}.", f"redis://:{n}@{p.lower()}.local:6379/{self.num(0, 9)} is {a}.",
                 f"The decorator @{n}.policy on {low} is {a}.", f"{p} Avenue is the code name of the {a} {n} with {d(4)} slots.", f"{p} Street was the name of the old {n}.", f"Grace Period and Chase Sequence stay {v} for {p} {w}.", f"Max Retries and Mark Phase are {a} for {p}.", f"Commit {self.one('0123456789abcdef')}{d(4)}c{d(2)}e{d(4)} {v} the {a} {n} at {p}:{d(4)}.",
-                f'{{"service": "{p.lower()}-{n}", "port": {d(5)}, "checksum": "{d(8)}", "owner_team": "{p} {n}", "retries": {d(1)}, "timeout_ms": {d(5)}}}', f"service: {p.lower()}-{n}; port: {d(5)}; checksum: {self.one('abcdef')}{d(6)}{self.one('abcdef')}; owner_team: {p} {n}; replicas: {d(1)}; threshold: 0.{d(2)}",
-                f"service: {p.lower()}-{n}\nport: {d(5)}\nchecksum: {d(8)}\nowner_team: {p} {n}\nzone: {a}-{d(2)}", f"TODO(the {n} team): replace {low} by a {a} {m}, keep {d(4)} entries, tell {p}.", f"Ask {p} for the {a} {n}, compare it with the {m} {w}.", f"If {p} is {a}, then the assistant must have the {n} {v} within {d(2)} hours.",
+                f'{{"service": "{p.lower()}-{n}", "port": {d(5)}, "checksum": "{self.hex(8)}", "owner_team": "{p} {n}", "retries": {d(1)}, "timeout_ms": {d(5)}}}', f"service: {p.lower()}-{n}; port: {d(5)}; checksum: {self.hex(8)}; owner_team: {p} {n}; replicas: {d(1)}; threshold: 0.{d(2)}",
+                f"service: {p.lower()}-{n}\nport: {d(5)}\nchecksum: {self.hex(8)}\nowner_team: {p} {n}\nzone: {a}-{d(2)}", f"TODO(the {n} team): replace {low} by a {a} {m}, keep {d(4)} entries, tell {p}.", f"Ask {p} for the {a} {n}, compare it with the {m} {w}.", f"If {p} is {a}, then the assistant must have the {n} {v} within {d(2)} hours.",
                 f"User: can {p} forget the {a} {n}? assistant: only after {low} is {v} and {d(4)} rows are {v}.", f"{p}_{n} -> {q}: {a} {m}, weight 0.{d(2)}, {v} {w}.", f"Status of {p}: {n} {a}, {m} {b}; next check in {d(2)} days by the assistant.", f"The {p} {n} keeps a {a} {m} for {d(2)} minutes and then hands it to the {b} {n}.",
                 f"{p} reports 49 € per month while the {n} stays {a} at {d(4)} items.", f"With {p} → {q} in place the {a} {n} was {v} {w}.", f"Alternatives: (a) a {a} {n} in {p}, (b) a {b} {m} with {d(4)} slots, (c) leave {low} {a}.", f"Decision: {low} stays {a}; the {n} threshold moves from 0.{d(2)} to 0.{d(2)} {w}.",
                 f"In user_facts the {a} {n} was {v} twice, so the reviewer asked for a {b} {m} at 0.{d(2)}.", f"The team wrote that {p} needs {d(1)}.{d(1)} GB for its {a} {n} and {d(4)} slots for the {m}.", f"Команда решила: {self.one(_RU)} для {p} будет новый, порог 0.{d(2)}, а {self.one(_RU)} сравнили позже.", f"Если {self.one(_RU)} превышает {d(4)}, агент пишет в {p} и ждёт {d(2)} минут.",
@@ -188,6 +191,8 @@ class Maker:
                 f"The count went from {d(4)},{d(3)} to {d(4)},{d(3)} chunks in {low}.", f"Sizes grew from {d(2)}.{d(3)} to {d(3)} rows for **{p}** and {p}**.", f"Cuando la **{self.one(['petición', 'métrica', 'límite'])}** supera {d(4)}, **{p}** corrigió la búsqueda durante {d(2)} días.",
                 f"Wenn die Warteschlange größer als {d(4)} ist, wird die {n.capitalize()} von {p} nach {d(2)} Minuten gelöscht.", f"Dès que la tâche dépasse {d(4)}, l’agent a gardé la requête côté {p}.", f"A fila de {p} segue vazia e a opção tem {d(2)} itens.",
                 f"I learned today that {p} prefers {a} answers, {d(2)} lines at most.", f"{p} prefers a {a} {n} over the {b} {m}.", f"Note that {p} owns {d(2)} {a} rows, and {q} asked for {d(2)} more.", f"Мы заменили новый {self.one(_RU)} сервиса {p} по просьбе команды, осталось {d(4)} записей.", f"it said that {p} {self.one(['is', 'was', 'owns', 'wants', 'needs', 'reports', 'keeps'])} {a} {w}",
+                f"Cuando la tarea supera {d(4)}, {p} midió la sesión durante {d(2)} días.", f"Cuando el ubicación supera {d(4)} {p} comparó la configuración.", f"À {d(2)} heures, {p} a évalué la tâche et gardé {d(4)} entrées.", f"- À {d(2)} heures, {p} a comparé la requête",
+                f"Die große Abfrage von {p} wurde zurückgesetzt, danach blieben {d(4)} Einträge für die Prüfung.", f"durante {d(2)} días). Cuando la sesión supera {d(4)}, {p} la revisó",
                 f"look at {p} dot {n} {w}", f"import @{p.lower()}/{n}", f"git@{p.lower()}.local:{n}/{m}.git was {v}", f"Monday Morning is {a} for {p} {q}.", f"The {n} {p} {q} was {v}.", f"Раздел «Р» описывает новый {self.one(_RU)}, раздел «С» — {self.one(_RU)} для {p} и {d(2)} строк.", f"Заметка: новый {self.one(_RU)} и старый {self.one(_RU)} связаны через {low}.",
                 f"Between step {d(2)} and step {d(2)} the {a} {n} of {p} is {v}.", f"Why so {a}? Since {p} {v} {d(2)} of {d(4)} {n} rows, and the team saw a {b} {m} only {w}.", f"The reviewer calls it the {p} {n}, and {q} keeps {d(4)} of its {a} {m} entries there.", f"§ {d(2)} of the policy, {d(1)} × {d(2)} probes, ΔN = {d(4)}",
             ]
@@ -210,11 +215,11 @@ class Maker:
         x = self.r.random()
         if x < 0.06:
             return [(t.upper(), k) for t, k in out]
-        if x < 0.12:
+        if x < 0.14:
             return [(t.title(), k) for t, k in out]
-        if x < 0.17:
+        if x < 0.18:
             return [(t.lower(), k) for t, k in out]
-        if x < 0.2:
+        if x < 0.21:
             return [("".join(c.upper() if self.r.random() < 0.12 else c for c in t), k) for t, k in out]
         return out
 
