@@ -43,6 +43,8 @@ MATCHES = 4
 HOT = 50_000
 #: Suffixes of one fingerprint that a text is compared with at first; only texts that stay without a partner see the rest.
 MOST = 1000
+#: Hits of one bucket aimed at in that first turn; where hot fingerprints would give more, fewer of each are compared.
+HITS = 6_000_000
 #: Suffixes aimed at per bucket.
 BUCKET_ROWS = 400_000
 
@@ -191,7 +193,8 @@ def bucket_hits(batch_rows: int, most: int | None):
     """For one bucket: batches in the order of arrival, each looked up in the segments before it and in itself.
 
     An interval of more than ``most`` suffixes gives the ``most`` with the smallest class ids, the same for every
-    fingerprint of a group of near copies, and a row (q, q, -1) that says so.
+    fingerprint of a group of near copies, and a row (q, q, -1) that says so.  A bucket that would give more than
+    ``HITS`` halves ``most``; the smaller choice is part of the larger, so buckets agree on what they compare.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -202,6 +205,12 @@ def bucket_hits(batch_rows: int, most: int | None):
         base = base[np.lexsort((cid[base], key[base]))]
         segments = [(key[base], base)] if len(base) else []
         fresh, asked = stored[born[stored] > 0], np.flatnonzero(ask)
+        limit = most
+        if most is not None:
+            keys = np.sort(key[stored])
+            n = np.searchsorted(keys, key[asked], "right") - np.searchsorted(keys, key[asked], "left")
+            while limit > 8 and np.minimum(n, limit).sum() > HITS:
+                limit //= 2
         fresh, asked = fresh[np.argsort(born[fresh], kind="stable")], asked[np.argsort(born[asked], kind="stable")]
         out_q, out_h, cut = [], [], []
         a = s = 0
@@ -213,9 +222,9 @@ def bucket_hits(batch_rows: int, most: int | None):
             for keys, rows in [*segments, (key[own], own)]:
                 lo, hi = np.searchsorted(keys, key[q], "left"), np.searchsorted(keys, key[q], "right")
                 n = hi - lo
-                if most is not None and (n > most).any():
-                    cut.append(q[n > most])
-                    n = np.minimum(n, most)
+                if limit is not None and (n > limit).any():
+                    cut.append(q[n > limit])
+                    n = np.minimum(n, limit)
                 which = np.repeat(np.arange(len(q)), n)
                 at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
                 h, qq = rows[at], q[which]

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from loomstore.llm import history as H
 from loomstore.llm.history import History
 from loomstore.llm.texts import words
@@ -53,9 +55,11 @@ def test_known_against_brute_force(spark, monkeypatch):
     assert got == brute(old, new)
 
 
-def test_many_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("most,hits", [(5, 6_000_000), (1000, 50)])
+def test_many_near_copies(spark, monkeypatch, most, hits):
     """Fingerprints with more texts than are compared at first: found among the first, or in the exact second turn."""
-    monkeypatch.setattr(H, "MOST", 5)
+    monkeypatch.setattr(H, "MOST", most)
+    monkeypatch.setattr(H, "HITS", hits)
     common = " ".join(f"c{i}" for i in range(12))
     old = [("a", f"{common} x{i} y{i}") for i in range(60)] + [("a", f"{common} " + " ".join(f"z{i}_{k}" for k in range(14))) for i in range(60)]
     new = [(i + 1, "a", f"{common} n{i} m{i}") for i in range(10)] + [(50 + i, "a", f"{common} " + " ".join(f"z{i} {k}" if k < 13 else "q" for k in range(14))) for i in range(60)] + [(500, "a", common + " " + " ".join(f"u{k}" for k in range(30)))]
