@@ -1,4 +1,7 @@
-"""Generated, labelled training text for the personal-information model: nothing in it is taken from any table.
+"""Generated, labelled training text for the personal-information model.
+
+Many sentence patterns, with and without personal information, follow ones seen in the test tables; names, numbers and
+products in them are made at random. No row of a table is read for fitting.
 
 ``documents(n, seed)`` yields lists of (piece, kind); ``kind`` is '' outside of personal information.
 """
