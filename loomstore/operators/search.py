@@ -6,6 +6,7 @@ means no filter, as does None.  Scores are cosines rounded to six decimals; ties
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from loomstore.operators.reads import active, once
 
 #: Queries of one block that is sent to the executors.
 QUERY_BLOCK = 4096
+#: Probability with which a pair at the threshold meets in some signature; signatures of a vector and planes of one, at most.
+RECALL, MOST_TABLES, MOST_BITS = 0.95, 64, 16
 
 
 def payload_filter(vectors: DataFrame, user_id: str | None = None, namespace: str | None = None) -> DataFrame:
@@ -97,12 +100,27 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold:
     return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
-def top_k_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.7, tables: int = 12, bits: int = 8, seed: int = 3) -> DataFrame:
-    """Approximate :func:`top_k_batch`: only pairs that share one of ``tables`` signatures of ``bits`` random planes are scored.
+def lsh_shape(threshold: float, recall: float = RECALL, most: int = MOST_TABLES) -> tuple[int, int]:
+    """(tables, bits): the most planes a signature with which ``most`` tables let a pair of cosine ``threshold`` (over 0) meet with probability ``recall``."""
+    same = 1 - math.acos(min(threshold, 1.0)) / math.pi
+    for bits in range(MOST_BITS, 0, -1):
+        tables = 1 if same == 1 else math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+        if tables <= most:
+            break
+    return tables, bits
 
-    Signatures are made inside the JVM and joined; a signature that holds very many vectors is split by adaptive
-    execution.  A pair of cosine c meets with probability 1 - (1 - (1 - acos(c)/pi)**bits)**tables.
+
+def top_k_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.7, recall: float = RECALL, seed: int = 3) -> DataFrame:
+    """Approximate :func:`top_k_batch`: only pairs that share a signature of random planes are scored.
+
+    A pair of cosine c meets with probability 1 - (1 - (1 - acos(c)/pi)**bits)**tables, and :func:`lsh_shape` derives
+    both numbers from the threshold so that this is ``recall`` at the threshold and more above it.  The lower the threshold the
+    more pairs meet (about 0.7 of all at 0.3, 0.05 at 0.7); at 0 or below planes rule out nothing and the exact search runs.
+    Signatures are joined; one that holds very many vectors is split by adaptive execution.
     """
+    if threshold <= 0:
+        return top_k_batch(vectors, queries, k, threshold)
+    tables, bits = lsh_shape(threshold, recall)
     size = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
     planes = np.random.default_rng(seed).standard_normal((tables * bits, size))
 

@@ -83,6 +83,19 @@ def test_batch_search_agrees_with_single(spark):
     assert search.top_k_batch(pts, q.limit(0), 4).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_lsh_recall_of_the_registered_query(spark, sf):
+    from loomstore.plans import analysis
+
+    d = f"/root/testdata/{sf}"
+    found = set(rows(analysis.knn_batch_lsh(spark, d)))
+    e = analysis.read_table(spark, d, "embeddings").select(analysis.F.col("vec_id").alias("id"), "embedding")
+    true = set(rows(search.top_k_batch(e, e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 10, 0.3)))
+    others = {x for x in true if x[0] != x[1]}
+    print(sf, "recall", len(found & true), len(true), "without the query itself", len(found & others), len(others))
+    assert len(found & true) >= 0.9 * len(true) and len(found & others) >= 0.9 * len(others)
+
+
 def test_decisions(store, spark):
     entries = [
         (1, "u", BASE, None, "default", None), (2, "u", "a fact about the user", None, "user_facts", None), (3, "u", BASE + " now", None, "default", None), (4, "other", BASE + " now", None, "default", None),
