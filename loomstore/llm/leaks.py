@@ -3,8 +3,9 @@
 The items' word 4-grams, stock lines left out, are the seeds.  A document is scanned once for seeds; a document and
 an item become candidates only where enough different seeds lie close to one diagonal: a passage of twenty words with
 three edits keeps five of its seeds at least, so no passage is lost.  The stretch of the document around the seeds is
-then aligned with the item's words; the alignment is searched for a run of ``EXACT`` equal words, or a passage of
-``PASSAGE`` words with at most one edit in ten.
+then aligned with the item's words by Smith-Waterman, with a layer per number of edits, so that every local alignment
+is seen and not the best alone: a run of ``EXACT`` equal words, or a passage of ``PASSAGE`` words with at most one edit
+in ten, counts wherever it lies.
 
 A seed's rarity counts: one that stands in very many documents says little, so hits are needed on several; but none
 is dropped, however frequent.  The items are the stated query set; they go to the executors in blocks of bounded size.
@@ -106,7 +107,10 @@ def prepare(rows: list[tuple[int, str]], stock: set[tuple[str, ...]]) -> Items:
 
 
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, bool]]:
-    """Smith-Waterman (equal +1, edit -1) of two word sequences: the best local alignment as (words of b used, is edit)."""
+    """Smith-Waterman (equal +1, edit -1) of two word sequences: the best local alignment as (words of b used, is edit).
+
+    The plain form with its path; leaks are looked for by :func:`longest_passage`, which sees every alignment.
+    """
     a, b = a.tolist(), b.tolist()
     width = len(b) + 1
     above = [0] * width
@@ -155,6 +159,37 @@ def passage_length(ops: list[tuple[int, bool]], exact: int = EXACT, least: int =
     return best
 
 
+def longest_passage(a: np.ndarray, b: np.ndarray, exact: int = EXACT, least: int = PASSAGE, rate: int = RATE) -> tuple[int, int]:
+    """(words of b, edits) of the longest passage of ``b`` in ``a`` that makes a leak, over all local alignments, or (0, 0).
+
+    Smith-Waterman's recurrence, where a cell has for each number of edits the most words of ``b`` that an alignment
+    ending there uses; more edits than one in ``rate`` of all of ``b`` can't make a leak.  Cells of one antidiagonal
+    depend on the two before it only, so each is computed at once.
+    """
+    n, m = len(a), len(b)
+    layers = m // rate + 1
+    none = -(1 << 20)
+    top = np.zeros(layers, dtype=np.int32)
+    older, old = np.full((layers, m + 1), none, dtype=np.int32), np.full((layers, m + 1), none, dtype=np.int32)
+    for t in range(2, n + m + 1):
+        lo, hi = max(1, t - n), min(m, t - 1)
+        equal = a[t - hi - 1 : t - lo][::-1] == b[lo - 1 : hi]
+        before = older[:, lo - 1 : hi]
+        own = np.where(equal, before + 1, none)
+        own[0] = np.where(equal, np.maximum(before[0], 0) + 1, none)
+        np.maximum(top, own.max(axis=1), out=top)  # a passage ends with equal words
+        np.maximum(own[1:], before[:-1] + 1, out=own[1:])
+        np.maximum(own[1:], old[:-1, lo : hi + 1], out=own[1:])
+        np.maximum(own[1:], old[:-1, lo - 1 : hi] + 1, out=own[1:])
+        older, old = old, np.full((layers, m + 1), none, dtype=np.int32)
+        old[:, lo : hi + 1] = own
+    best = (0, 0)
+    for edits, used in enumerate(top.tolist()):
+        if used > best[0] and ((not edits and used >= exact) or (used >= least and edits * rate <= used)):
+            best = (used, edits)
+    return best
+
+
 def candidates(numbers: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
     """(passage, from, to): stretches of a document (as word numbers) where enough seeds of a passage lie close together."""
     g = grams(numbers)
@@ -196,7 +231,7 @@ def _leak_batches(items_of):
                 numbers = _numbers(words(text))
                 for p, x, y in candidates(numbers, items):
                     key = (doc, items.item[p])
-                    found = passage_length(align(numbers[x:y], items.text[p]))
+                    found = longest_passage(numbers[x:y], items.text[p])
                     if found[0] > out.get(key, (0, 0))[0]:
                         out[key] = found
             rows = [(d, i, w, e) for (d, i), (w, e) in out.items()]

@@ -80,6 +80,48 @@ def test_alignment_by_hand():
     assert leaks.passage_length([(1, False)] * 12) == (12, 0) and leaks.passage_length([(1, False)] * 11) == (0, 0)
 
 
+def test_every_local_alignment_counts(spark):
+    item = [f"w{k}" for k in range(60)]
+    loose = [f"x{k}" if k % 6 == 5 else w for k, w in enumerate(item[:40])]  # the best alignment, but no leak
+    apart = [f"y{k}" for k in range(30)]
+    edited = item[36:46] + ["z"] + item[47:60]  # 24 words, one replaced
+    docs = [(1, loose + apart + item[44:57]), (2, item[44:57] + apart + loose), (3, loose + apart + edited), (4, item[20:33] + apart + edited), (5, loose + apart + item[44:55])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_edits) for r in leaks.leaks(df, items).collect()}
+    assert got == {1: (13, 0), 2: (13, 0), 3: (24, 1), 4: (24, 1)}
+
+
+def test_longest_passage_against_every_start():
+    import random
+
+    import numpy as np
+
+    def slow(a, b):
+        best = (0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                front = {(i, j): 0}  # least edits of the alignments from this start, by (words of a, of b) used up to
+                for x in range(i, len(a) + 1):
+                    for y in range(j, len(b) + 1):
+                        e = min([front[p] + c for p, c in (((x - 1, y), 1), ((x, y - 1), 1), ((x - 1, y - 1), int(x <= i or y <= j or a[x - 1] != b[y - 1]))) if p in front], default=front.get((x, y)))
+                        front[(x, y)] = e
+                        used = y - j
+                        if x > i and y > j and a[i] == b[j] and a[x - 1] == b[y - 1] and ((e == 0 and used >= 5) or (used >= 7 and e * 4 <= used)):
+                            best = max(best, (used, -e))
+        return best[0], -best[1]
+
+    r = random.Random(4)
+    seen = set()
+    for _ in range(40):
+        b = [r.randrange(5) for _ in range(14)]
+        a = [r.randrange(5) for _ in range(4)] + [w for w in b[r.randrange(5):] if r.random() > 0.15] + [r.randrange(5) for _ in range(4)]
+        want = slow(a, b)
+        seen.add(want)
+        assert leaks.longest_passage(np.array(a), np.array(b), 5, 7, 4) == want
+    assert len(seen) > 4
+
+
 CLEAN = ["Le café fermé près de la forêt où l’élève dînait déjà.", "Größe und Länge für die schöne Prüfung müssen übereinstimmen.", "El niño comió más piñas en la montaña según el periódico.", "Команда решила: индекс будет временный, порог заменили позже.", "Plain text without anything.", "A “quoted” word — and a dash… 5 € more ©"]
 
 
