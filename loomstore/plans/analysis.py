@@ -33,13 +33,16 @@ def query(sql: str | None = None, base: str = BASE):
 
 # Search; the vectors of memories are taken from the table of embeddings by the start of the id
 
+#: The embeddings that the SQL of the vector_search queries takes; everything else takes the whole table.
 POINTS = 500
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
+def vectors(spark: SparkSession, d: str, points: int | None = None) -> DataFrame:
+    """Live memories with an embedding each, from all embeddings (vec_id counts from 0) or the first ``points``."""
     m = reads.once(reads.active(memories(spark, d)).select("id", "user_id", "namespace", "importance"))
-    e = read_table(spark, d, "embeddings").where(F.col("vec_id") < POINTS)
-    return m.join(e, F.conv(F.substring("id", 1, 6), 16, 10).cast("long") % POINTS == F.col("vec_id")).select("id", "embedding", "user_id", "namespace", C.importance_or_default(F.col("importance")).alias("importance"))
+    e = read_table(spark, d, "embeddings")
+    points = points or e.count()
+    return m.join(e.where(F.col("vec_id") < points), F.conv(F.substring("id", 1, 6), 16, 10).cast("long") % points == F.col("vec_id")).select("id", "embedding", "user_id", "namespace", C.importance_or_default(F.col("importance")).alias("importance"))
 
 
 def _query_vector(spark: SparkSession, d: str, n: int) -> list[float]:
@@ -58,22 +61,22 @@ WHERE s >= {least} ORDER BY score DESC, id LIMIT {k}"""
 
 @query(_V + _top(7, "true", 0.2, 200))
 def vector_search_filtered(spark, d):
-    return search.top_k(vectors(spark, d), _query_vector(spark, d, 7), 200, 0.2)
+    return search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 7), 200, 0.2)
 
 
 @query(_V + _top(8, f"user_id = '{USER}'", 0.1))
 def vector_search_of_user(spark, d):
-    return search.top_k(vectors(spark, d), _query_vector(spark, d, 8), 10, 0.1, user_id=USER)
+    return search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 8), 10, 0.1, user_id=USER)
 
 
 @query(_V + _top(9, f"namespace = '{NS}' AND user_id = '{USER}'", 0.0))
 def vector_search_user_namespace(spark, d):
-    return search.top_k(vectors(spark, d), _query_vector(spark, d, 9), 10, 0.0, USER, NS)
+    return search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 9), 10, 0.0, USER, NS)
 
 
 @query(_V + ", h AS (" + _top(10, f"namespace = '{NS}'", 0.0, 50) + f") SELECT h.id, a.content, a.metadata, a.namespace, {_IMPORTANCE}, h.score FROM h JOIN a ON a.id = h.id")
 def vector_search_hydrated(spark, d):
-    return search.hydrate(search.top_k(vectors(spark, d), _query_vector(spark, d, 10), 50, 0.0, namespace=NS), memories(spark, d)).withColumn("importance", C.importance_or_default(F.col("importance")).cast("int"))
+    return search.hydrate(search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 10), 50, 0.0, namespace=NS), memories(spark, d)).withColumn("importance", C.importance_or_default(F.col("importance")).cast("int"))
 
 
 @query(

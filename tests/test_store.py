@@ -96,6 +96,16 @@ def test_lsh_recall_of_the_registered_query(spark, sf):
     assert len(found & true) >= 0.9 * len(true) and len(found & others) >= 0.9 * len(others)
 
 
+def test_every_embedding_takes_part(spark):
+    from loomstore.plans import analysis
+
+    d = "/root/testdata/sf0.1"
+    n = analysis.read_table(spark, d, "embeddings").count()
+    assert n > analysis.POINTS
+    assert analysis.ledger_points(spark, d).select("embedding").distinct().count() == n
+    assert analysis.vectors(spark, d).select("id").distinct().count() == analysis.reads.active(analysis.memories(spark, d)).select("id").distinct().count()
+
+
 def test_decisions(store, spark):
     entries = [
         (1, "u", BASE, None, "default", None), (2, "u", "a fact about the user", None, "user_facts", None), (3, "u", BASE + " now", None, "default", None), (4, "other", BASE + " now", None, "default", None),
