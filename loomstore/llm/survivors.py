@@ -58,17 +58,17 @@ def _field_claims(members: DataFrame) -> DataFrame:
     )
 
 
-def truth(members: DataFrame, rounds: int = 3, tolerance: float = 0.02, damping: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def truth(members: DataFrame, most: int = 200, tolerance: float = 1e-4, damping: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(values, reliability): (first_id, field, value, support) of every claimed value, and (source_name, reliability).
 
-    At most ``rounds`` alternations; fewer once converged.  ``damping`` is how many neutral claims each source is
+    Alternates until no reliability moves by more than ``tolerance``; raises where ``most`` alternations don't get there.  ``damping`` is how many neutral claims each source is
     given, so that a source of few claims stays near one half.  Votes are summed per (group, field, value, source)
     before anything is joined, so that copies of one source in a hot group travel as one row.
     """
     claims = scratch(_field_claims(members).groupBy("first_id", "field", "value", "source_name").agg(F.count(F.lit(1)).alias("votes")), "claims")
     trust = claims.groupBy("source_name").agg(F.lit(0.5).alias("reliability"))
     trust = scratch(trust, "trust")
-    for _ in range(rounds):
+    for _ in range(most):
         weighed = claims.join(trust, "source_name")
         values = weighed.groupBy("first_id", "field", "value").agg(F.sum(F.col("votes") * F.col("reliability")).alias("support"))
         total = values.groupBy("first_id", "field").agg(F.sum("support").alias("total"))
@@ -85,11 +85,13 @@ def truth(members: DataFrame, rounds: int = 3, tolerance: float = 0.02, damping:
         trust = new
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"reliabilities still move by {moved} after {most} rounds")
     values = claims.join(trust, "source_name").groupBy("first_id", "field", "value").agg(F.sum(F.col("votes") * F.col("reliability")).alias("support"))
     return values, trust.select("source_name", "reliability")
 
 
-def survivors(groups: DataFrame, records: DataFrame, rounds: int = 3) -> DataFrame:
+def survivors(groups: DataFrame, records: DataFrame) -> DataFrame:
     """(first_id, best_id, clear, updated_at, importance, metadata): one row per group.
 
     ``best_id`` is the member to keep; ``clear`` says that it leaves no choice: later than all others, importance on
@@ -98,7 +100,7 @@ def survivors(groups: DataFrame, records: DataFrame, rounds: int = 3) -> DataFra
     value).  Null times count as earliest; ties between members go to the smaller id.
     """
     members = scratch(member_claims(groups, records), "claimants")
-    values, trust = truth(members, rounds)
+    values, trust = truth(members)
     values = scratch(values, "values")
     best = values.groupBy("first_id", "field").agg(F.max(F.struct("support", "value")).alias("top"))
     built = best.groupBy("first_id").agg(

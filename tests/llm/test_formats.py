@@ -4,7 +4,7 @@ import random
 import pytest
 
 from loomstore.llm.formats import canonical_contents, content_copies, content_groups
-from loomstore.llm.survivors import survivors
+from loomstore.llm.survivors import survivors, truth
 from loomstore.llm.texts import canonical, fields, letters, words
 from tests.conftest import rows
 
@@ -113,3 +113,25 @@ def test_truth_follows_the_reliable_source(spark):
     df = spark.createDataFrame(data, DDL)
     out = {r.first_id: json.loads(r.metadata)["v"] for r in survivors(content_groups(df), df).collect()}
     assert set(out.values()) == {"right"}
+
+
+def test_truth_runs_until_it_settles(spark):
+    # a chain: each source disagrees with the next one, and only the first has support of its own
+    votes = [("g0", f"n{k}", f"help{k}", "$v", "a") for k in range(4)] + [("g0", "n9", "s0", "$v", "a")]
+    for k in range(10):
+        votes += [(f"c{k}-{j}", f"x{k}-{j}", f"s{k}", "$v", "a") for j in range(6)] + [(f"c{k}-{j}", f"y{k}-{j}", f"s{k + 1}", "$v", "b") for j in range(6)]
+    members = spark.createDataFrame([(g, i, s, None, None, {f[1:]: v}) for g, i, s, f, v in votes], "first_id string, id string, source_name string, updated_at timestamp_ntz, importance int, fields map<string,string>")
+    want = dict.fromkeys({v[2] for v in votes}, 0.5)
+    for _ in range(5000):
+        support, total, share = {}, {}, {}
+        for g, _, s, f, v in votes:
+            support[g, f, v] = support.get((g, f, v), 0) + want[s]
+            total[g, f] = total.get((g, f), 0) + want[s]
+        for g, _, s, f, v in votes:
+            share.setdefault(s, []).append(support[g, f, v] / total[g, f])
+        want = {s: (sum(x) + 1) / (len(x) + 2) for s, x in share.items()}
+    _, trust = truth(members)
+    got = {r.source_name: r.reliability for r in trust.collect()}
+    assert set(got) == set(want) and max(abs(got[s] - want[s]) for s in want) < 5e-3
+    with pytest.raises(RuntimeError, match="still move"):
+        truth(members, most=2)
