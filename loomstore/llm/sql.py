@@ -22,6 +22,12 @@ r AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id
 SELECT DISTINCT least(a, b) AS decision_a, greatest(a, b) AS decision_b FROM r
 """
 
+P2_LISTS = P2[: P2.index("r AS (SELECT")].rstrip().rstrip(",") + """
+SELECT a.id AS decision_id, b.id AS neighbour_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 6) AS sim
+FROM v a JOIN v b ON a.id <> b.id
+WINDOW w AS (PARTITION BY a.id ORDER BY round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 6) DESC, b.id) QUALIFY row_number() OVER w <= 5
+"""
+
 _PLAIN = r"regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _KEY = r"\s*[\p{L}_][\p{L}\p{N}_]*([.-][\p{L}\p{N}_]+)*\s*:[\s\S]*"
 
