@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from loomstore import schema as S
 from loomstore.functions import columns as C
+from loomstore.functions.embed import embed
 from loomstore.operators import dedup, graph, hashes, links, reads, search, writes
+from loomstore.sources.tables import scratch
 
 VERSION = "0.1.0"
 
@@ -95,20 +97,24 @@ class MemoryStore:
         return dedup.decisions(one, self.memories)
 
     def ingest(self, entries: DataFrame, apply_updates: bool = False) -> tuple["MemoryStore", DataFrame]:
-        """(store with the batch taken in, results): entries are (ord, user_id, content, metadata, namespace, importance)."""
+        """(store with the batch taken in, results with ids): entries are (ord, user_id, content, metadata, namespace, importance).
+
+        ``dedup.ingest_summary`` counts the results.
+        """
         if entries.where(C.is_blank(F.col("content")) | C.is_blank(F.col("user_id"))).limit(1).count():
             raise ValueError("content and user_id must not be blank")
         out = dedup.ingest(entries, self.memories, self.relations, self.namespaces, self._now(), apply_updates)
         vectors = self.vectors
         if vectors is not None:
             new = out["memories"].join(self.memories.select("id"), "id", "left_anti")
-            vectors = writes.upsert_vectors(vectors, new.select("id", C.embedding(F.col("content")).alias("embedding"), "user_id", "namespace", "importance"))
+            vectors = writes.upsert_vectors(vectors, scratch(embed(new.select("id", "user_id", "namespace", "content", "importance")).select(*vectors.columns), "points"))
         return replace(self, memories=out["memories"], relations=out["relations"], namespaces=out["namespaces"], vectors=vectors), out["results"]
 
     def store(self, content: str, user_id: str, metadata: str | None = None, namespace: str | None = None, importance: int | None = None) -> tuple["MemoryStore", DataFrame]:
         _need(content=content, user_id=user_id)
         one = self.spark.createDataFrame([(0, user_id, content, metadata, namespace, importance)], "ord long, user_id string, content string, metadata string, namespace string, importance int")
-        return self.ingest(one, apply_updates=True)
+        new, results = self.ingest(one, apply_updates=True)
+        return new, results.join(new.memories.select("id", "content", "metadata", "importance", "created_at", "updated_at"), "id").limit(1)
 
     def update(self, memory_id: str, content: str | None = None, metadata: str | None = None, importance: int | None = None) -> "MemoryStore":
         self._row(memory_id)
@@ -161,7 +167,8 @@ class MemoryStore:
         """(nodes, edges); the start must exist."""
         self._row(start_id)
         r = reads.clean_relations(self.relations)
-        return graph.traverse_nodes(self.memories, r, start_id, depth, link_types), graph.traverse_edges(r, start_id, depth, link_types)
+        at = graph.reachable(r, start_id, depth, link_types)
+        return graph.traverse_nodes(self.memories, r, start_id, depth, link_types, at), graph.traverse_edges(r, start_id, depth, link_types, at)
 
     def graph_stats(self) -> DataFrame:
         return graph.stats_json(self.memories, reads.clean_relations(self.relations))

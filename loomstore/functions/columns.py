@@ -24,8 +24,8 @@ def json_text(metadata: Column, key: str) -> Column:
 
 
 def plain_name(name: Column) -> Column:
-    """A name as names are compared: trimmed, lower case."""
-    return F.lower(F.trim(name))
+    """A name as names are compared: outer white space of any kind off, lower case."""
+    return F.lower(F.regexp_replace(name, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
 def is_uuid(text: Column) -> Column:
@@ -79,15 +79,21 @@ def as_metadata(text: Column) -> Column:
 def merge_metadata(old: Column, new: Column) -> Column:
     """Both JSON objects as one, the new one's keys replacing the old one's as a whole; null counts as empty.
 
-    A key that the new one sets to null is null afterwards.  Values are compared as text of type string, so nested
-    values keep their JSON text.
+    A key that the new one sets to null is null afterwards.  Values are variants, so numbers, booleans, lists and
+    objects stay what they are; what is no JSON object counts as empty.
     """
-    kind = "map<string,string>"
+    kind = "map<string,variant>"
     a, b = F.coalesce(F.from_json(old, kind), F.expr(f"cast(map() as {kind})")), F.coalesce(F.from_json(new, kind), F.expr(f"cast(map() as {kind})"))
     kept = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
     return F.map_concat(kept, b)
 
 
+def json_pairs(metadata: Column) -> Column:
+    """A JSON object as one text of its keys in order, each with its value's JSON; null for anything else."""
+    pairs = F.transform(F.map_entries(F.from_json(metadata, "map<string,variant>")), lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"])))
+    return F.array_join(F.array_sort(pairs), "&")
+
+
 def importance_or_default(importance: Column) -> Column:
     """3 where the importance is null or 0."""
     return F.when(importance.isNull() | (importance == 0), 3).otherwise(importance)

@@ -33,8 +33,11 @@ def prepared(incoming: DataFrame) -> DataFrame:
 def exact(incoming: DataFrame, memories: DataFrame, include_archived: bool = True) -> DataFrame:
     """(ord, existing_id): entries whose (namespace, content hash) the store has; of several the smallest id."""
     store = memories if include_archived else active(memories)
-    held = store.where(F.col("content_hash").isNotNull()).groupBy("namespace", "content_hash").agg(F.min("id").alias("existing_id"))
-    return prepared(incoming).join(held, ["namespace", "content_hash"]).select("ord", "existing_id")
+    rows = prepared(incoming).select("ord", "namespace", "content_hash")
+    asked = rows.select("namespace", "content_hash").distinct()
+    held = store.where(F.col("content_hash").isNotNull()).select("namespace", "content_hash", "id").join(asked, ["namespace", "content_hash"], "left_semi")
+    held = held.groupBy("namespace", "content_hash").agg(F.min("id").alias("existing_id"))
+    return rows.join(held, ["namespace", "content_hash"]).select("ord", "existing_id")
 
 
 def _score_block(limit: int):
@@ -74,6 +77,7 @@ def similar(incoming: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
     """
     store = once(active(memories).select("id", "user_id", "namespace", "content")).where(F.col("content").isNotNull() & F.col("user_id").isNotNull())
     rows = prepared(incoming)
+    store = store.join(rows.select("user_id", "namespace").distinct(), ["user_id", "namespace"], "left_semi")
     blocks = lambda name: (F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias(name)
     pairs = rows.groupBy("user_id", "namespace").agg(blocks("turns"))
     sizes = store.groupBy("user_id", "namespace").agg(blocks("blocks")).join(pairs, ["user_id", "namespace"])
@@ -129,30 +133,40 @@ def ratio(decided: DataFrame) -> DataFrame:
     return decided.groupBy("namespace").agg(F.round(F.count_if(F.col("action") != "insert") / F.count(F.lit(1)), 6).alias("dedup_ratio"))
 
 
+def ingest_summary(results: DataFrame) -> DataFrame:
+    """One row on a batch: total and what became of its entries."""
+    return summary(results)
+
+
 def ingest(incoming: DataFrame, memories: DataFrame, relations: DataFrame, namespaces: DataFrame, now: datetime, apply_updates: bool = False) -> dict[str, DataFrame]:
-    """A batch taken in: results (ord, action, namespace), memories, relations and namespaces afterwards.
+    """A batch taken in: results (ord, action, namespace, id), memories, relations and namespaces afterwards.
 
-    Entries to be inserted that repeat a (namespace, content) of the batch are skipped but for the first.  With
+    ``id`` is the memory that an entry became or was found to be.  Entries to be inserted that repeat a (namespace,
+    content) of the batch are skipped but for the first.  New ids come from a hash of namespace, content and ``now``, so
+    that a batch gives the same ids when it is run again, and a content that was forgotten another id later.  With
     ``apply_updates`` the metadata of updates is merged into the store, as a single store call does.
     """
     decided = scratch(decisions(incoming, memories), "decisions")
-    registry = ensure_namespaces(namespaces, prepared(incoming).select(F.col("namespace").alias("uid")), now)
-    rows = prepared(incoming).join(decided.where(F.col("action") == "insert").select("ord"), "ord", "left_semi")
+    registry = ensure_namespaces(namespaces, decided.select(F.col("namespace").alias("uid")), now)
+    ready = scratch(prepared(incoming), "prepared")
+    rows = ready.join(decided.where(F.col("action") == "insert").select("ord"), "ord", "left_semi")
     ids = registry.groupBy(F.col("uid").alias("namespace")).agg(F.min("id").alias("namespace_id"))
-    h = F.md5(F.concat_ws("\x1f", "namespace", "content_hash"))
+    h = F.md5(F.concat_ws("\x1f", "namespace", "content_hash", F.lit(now.isoformat(" "))))
+    new_id = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
     fresh = rows.join(ids, "namespace", "left").select(
-        F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12)).alias("id"),
+        new_id.alias("id"),
         "user_id", "content", F.coalesce("metadata", F.lit("{}")).alias("metadata"), "namespace", "namespace_id", "content_hash", F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("string").alias("source_location"),
         F.lit(1).alias("version"), F.lit(False).alias("is_archived"), C.importance_or_default(F.col("importance")).cast("int").alias("importance"), at(now).alias("created_at"), at(now).alias("updated_at"), "ord",
     )
     store, inserted = insert_memories_ignore(memories, fresh)
     inserted = scratch(inserted, "inserted")
     results = decided.join(inserted.select("ord", F.lit(True).alias("made")), "ord", "left").select(
-        "ord", F.when((F.col("action") == "insert") & F.col("made").isNull(), "skip").otherwise(F.col("action")).alias("action"), "namespace"
+        "ord", F.when((F.col("action") == "insert") & F.col("made").isNull(), "skip").otherwise(F.col("action")).alias("action"), "namespace",
+        F.when(F.col("action") == "insert", new_id).otherwise(F.col("existing_id")).alias("id"),
     )
     store = memories.unionByName(inserted.select(*memories.columns))
     if apply_updates:
-        given = decided.where(F.col("action") == "update").join(prepared(incoming).select("ord", "metadata"), "ord").groupBy(F.col("existing_id").alias("u_id")).agg(F.max_by("metadata", "ord").alias("u_metadata"))
+        given = decided.where(F.col("action") == "update").join(ready.select("ord", "metadata"), "ord").groupBy(F.col("existing_id").alias("u_id")).agg(F.max_by("metadata", "ord").alias("u_metadata"))
         hit = F.col("u_id").isNotNull()
         store = store.join(given, F.col("id") == F.col("u_id"), "left").withColumns(
             {"metadata": F.when(hit, F.to_json(C.merge_metadata(F.col("metadata"), F.col("u_metadata")))).otherwise(F.col("metadata")), "updated_at": F.when(hit, at(now)).otherwise(F.col("updated_at"))}

@@ -104,10 +104,10 @@ def walk(relations: DataFrame, start_id: str, depth: int = 3, link_types: Sequen
 def reachable(relations: DataFrame, start_id: str, depth: int = 3, link_types: Sequence[str] | None = None) -> DataFrame:
     """(node_id, depth): each node within ``depth`` steps at its least depth; visited nodes are joined out of each frontier.
 
-    A shortest path repeats no node, so the depth is the same as the least of :func:`walk`.  Every frontier is written
-    to the shared folder, so plans stay flat however deep the walk goes.
+    A shortest path repeats no node, so the depth is the same as the least of :func:`walk`.  The edges are written once,
+    as is every frontier, so plans stay flat however deep the walk goes; all but the frontiers are dropped at the end.
     """
-    edges = _edges(relations, link_types)
+    edges = scratch(_edges(relations, link_types), "edges", ["source_id"])
     spark = relations.sparkSession
     seen = scratch(spark.createDataFrame([(start_id, 0)], "node_id string, depth int"), "seen")
     front = seen
@@ -120,19 +120,23 @@ def reachable(relations: DataFrame, start_id: str, depth: int = 3, link_types: S
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    drop_scratch(edges)
     return seen
 
 
-def traverse_nodes(memories: DataFrame, relations: DataFrame, start_id: str, depth: int = 3, link_types: Sequence[str] | None = None) -> DataFrame:
-    """The memories that the walk reaches, archived or not, at their least depth, with 200 characters of content."""
-    m = once(memories.select("id", "content", "namespace", "importance"))
-    at = reachable(relations, start_id, depth, link_types)
-    return at.join(m, at["node_id"] == m["id"]).select("id", F.left("content", F.lit(200)).alias("content"), "namespace", importance_or_default(F.col("importance")).cast("int").alias("importance"), "depth")
+def traverse_nodes(memories: DataFrame, relations: DataFrame, start_id: str, depth: int = 3, link_types: Sequence[str] | None = None, at: DataFrame | None = None) -> DataFrame:
+    """The memories that the walk reaches, archived or not, at their least depth, with 200 characters of content.
+
+    ``at`` is a walk (node_id, depth) done before.
+    """
+    at = reachable(relations, start_id, depth, link_types) if at is None else at
+    m = once(memories.select("id", F.left("content", F.lit(200)).alias("content"), "namespace", "importance").join(at.select(F.col("node_id").alias("id")), "id", "left_semi"))
+    return at.join(m, at["node_id"] == m["id"]).select("id", "content", "namespace", importance_or_default(F.col("importance")).cast("int").alias("importance"), "depth")
 
 
-def traverse_edges(relations: DataFrame, start_id: str, depth: int = 3, link_types: Sequence[str] | None = None) -> DataFrame:
-    """All relations, of any type, between the nodes that the walk reaches."""
-    at = reachable(relations, start_id, depth, link_types).select("node_id")
+def traverse_edges(relations: DataFrame, start_id: str, depth: int = 3, link_types: Sequence[str] | None = None, at: DataFrame | None = None) -> DataFrame:
+    """All relations, of any type, between the nodes that the walk reaches; ``at`` is a walk done before."""
+    at = (reachable(relations, start_id, depth, link_types) if at is None else at).select("node_id")
     r = relations.select("id", "source_id", "target_id", "link_type", "description", "weight")
     return r.join(at, F.col("source_id") == F.col("node_id"), "left_semi").join(at, F.col("target_id") == F.col("node_id"), "left_semi")
 

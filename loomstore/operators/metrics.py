@@ -12,22 +12,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sliding(log: DataFrame, width_s: int = 300, step_s: int = 30, ts: str = "ts") -> DataFrame:
-    """``log`` with a row for every window (ending at ``at``) that a row falls into: end - width < ts <= end."""
-    sec = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
-    first = F.ceil(sec / step_s) * step_s
-    return log.withColumn("at", F.explode(F.sequence(first.cast("long"), (first + (width_s - step_s)).cast("long"), F.lit(step_s).cast("long"))))
+def sliding(log: DataFrame, by: Sequence[str], sums: dict[str, Column], width_s: int = 300, step_s: int = 30, ts: str = "ts") -> DataFrame:
+    """(at, *by, *sums): sums over the windows ending at ``at``, with end - width < ts <= end, that hold a row.
+
+    Rows are summed per step first; only these sums, one a step and series, are added up to the windows they fall into.
+    """
+    step = (F.ceil(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6) / step_s) * step_s).cast("long")
+    own = log.groupBy(step.alias("step"), *by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    spread = own.withColumn("at", F.explode(F.sequence(F.col("step"), F.col("step") + (width_s - step_s), F.lit(step_s).cast("long"))))
+    return spread.groupBy("at", *by).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def rate(log: DataFrame, by: Sequence[str], width_s: int = 300, step_s: int = 30, amount: Column | None = None) -> DataFrame:
     """Per window and series the increase and the increase per second of a counter."""
     what = amount if amount is not None else F.lit(1)
-    return sliding(log, width_s, step_s).groupBy("at", *by).agg(F.sum(what).alias("increase")).withColumn("rate", F.col("increase") / F.lit(float(width_s)))
+    return sliding(log, by, {"increase": what}, width_s, step_s).withColumn("rate", F.col("increase") / F.lit(float(width_s)))
 
 
 def ratio(log: DataFrame, part: Column, by: Sequence[str], width_s: int = 300, step_s: int = 30) -> DataFrame:
     """Per window the share of rows for which ``part`` holds; windows without rows have none."""
-    return sliding(log, width_s, step_s).groupBy("at", *by).agg(F.count(F.lit(1)).alias("n"), (F.count_if(part) / F.count(F.lit(1))).alias("ratio"))
+    s = sliding(log, by, {"n": F.lit(1), "part": F.coalesce(part, F.lit(False)).cast("long")}, width_s, step_s)
+    return s.select("at", *by, "n", (F.col("part") / F.col("n")).alias("ratio"))
+
+
+#: What a rule measures: see :func:`alerts`.
+KINDS = ("rate", "ratio", "gauge", "gauge_ratio", "p95", "age")
+
+
+def alerts(log: DataFrame, rules: DataFrame, bounds: Sequence[float], width_s: int = 300, step_s: int = 30) -> DataFrame:
+    """(rule, series, at, measure, alert) of threshold rules over a log (ts, metric, label, value), all in one pass.
+
+    ``rules`` has (rule, kind, metric, part, label, above, limit, for_s): per window of ``width_s`` ending at each step a
+    ``rate`` is the sum of the metric's values a second, a ``ratio`` the share of ``part`` in the sum of both metrics, a
+    ``gauge`` the largest value, a ``gauge_ratio`` the largest value over the largest of ``part``, ``p95`` the quantile of
+    the metric's values by ``bounds``, and ``age`` the seconds from the last value to the window's end.  ``label``, where
+    not null, keeps one label's rows; else every label is a series (``label`` of the log; null as '').  An alert holds
+    where the measure has been above ``limit`` (``above``; else below it) at every step since ``for_s`` seconds.  A window
+    without rows has no measure and breaks a run.  Rules are a small table and are broadcast.
+    """
+    step = (F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) / step_s) * step_s).cast("long")
+    les = F.array(*[F.lit(float(b)) for b in bounds])
+    rows = log.select(
+        F.coalesce("label", F.lit("")).alias("series"), "metric", "value", step.alias("step"), F.size(F.filter(les, lambda b: b < F.col("value"))).alias("bucket"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("sec"),
+    ).where(F.col("value").isNotNull())
+    steps = rows.groupBy("series", "metric", "step", "bucket").agg(F.sum("value").alias("total"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n"), F.max("sec").alias("last"))
+    spread = steps.withColumn("at", F.explode(F.sequence(F.col("step"), F.col("step") + (width_s - step_s), F.lit(step_s).cast("long"))))
+    cells = spread.groupBy("series", "metric", "at", "bucket").agg(F.sum("total").alias("total"), F.max("top").alias("top"), F.sum("n").alias("n"), F.max("last").alias("last"))
+    named = rules.select("rule", "kind", F.col("metric").alias("rule_metric"), "part", F.col("label").alias("only"), "above", "limit", "for_s")
+    same = (F.col("metric") == F.col("rule_metric")) | (F.col("metric") == F.col("part"))
+    used = cells.join(F.broadcast(named), same & (F.col("only").isNull() | (F.col("only") == F.col("series"))))
+    main, other = F.col("metric") == F.col("rule_metric"), F.col("metric") == F.col("part")
+    m = used.groupBy("rule", "kind", "above", "limit", "for_s", "series", "at").agg(
+        F.sum(F.when(main, F.col("total"))).alias("total"), F.sum(F.when(other, F.col("total"))).alias("part_total"), F.max(F.when(main, F.col("top"))).alias("top"), F.max(F.when(other, F.col("top"))).alias("part_top"),
+        F.max(F.when(main, F.col("last"))).alias("last"), F.map_from_entries(F.collect_list(F.when(main, F.struct("bucket", "n")))).alias("h"),
+    )
+    every = F.sequence(F.lit(0), F.lit(len(bounds)))
+    counts = F.transform(every, lambda i: F.coalesce(F.try_element_at("h", i), F.lit(0).cast("long")))
+    run = F.transform(every, lambda i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    m = m.withColumn("run", run).withColumn("k", F.size(F.filter("run", lambda x: x < F.lit(0.95) * F.element_at(F.col("run"), -1))))
+    rank, k = F.lit(0.95) * F.element_at("run", -1), F.col("k")
+    low, high = F.when(k > 0, F.get(les, k - 1)).otherwise(0.0), F.get(les, k)
+    base = F.when(k > 0, F.get("run", k - 1)).otherwise(0)
+    p95 = F.when(F.element_at("run", -1) > 0, F.coalesce(low + (high - low) * F.try_divide(rank - base, F.get("run", k) - base), low))
+    measure = (
+        F.when(F.col("kind") == "rate", F.col("total") / F.lit(float(width_s)))
+        .when(F.col("kind") == "ratio", F.try_divide(F.coalesce("part_total", F.lit(0.0)), F.coalesce("total", F.lit(0.0)) + F.coalesce("part_total", F.lit(0.0))))
+        .when(F.col("kind") == "gauge", F.col("top")).when(F.col("kind") == "gauge_ratio", F.try_divide("top", "part_top"))
+        .when(F.col("kind") == "p95", p95).when(F.col("kind") == "age", F.col("at") - F.col("last"))
+    )
+    states = m.withColumn("measure", measure).where(F.col("measure").isNotNull()).withColumn("firing", F.when(F.col("above"), F.col("measure") > F.col("limit")).otherwise(F.col("measure") < F.col("limit")))
+    return holds(states, ["rule", "series"], F.col("for_s"), step_s).select("rule", "series", "at", "measure", "alert")
 
 
 def histogram(log: DataFrame, bounds: Sequence[float], by: Sequence[str], value: str = "value") -> DataFrame:
@@ -50,7 +104,7 @@ def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str]) -> DataFram
     return a.withColumn("at", at).select(*by, F.when(F.isnan(hit["le"] * 0), low).otherwise(inside).alias("quantile"))
 
 
-def holds(states: DataFrame, by: Sequence[str], for_s: int, step_s: int = 30) -> DataFrame:
+def holds(states: DataFrame, by: Sequence[str], for_s: int | Column, step_s: int = 30) -> DataFrame:
     """``states`` (at, firing, ...) with ``alert``: firing at every step since ``for_s`` seconds or longer.
 
     Steps that follow each other in the log without a gap in time count as one run.  A series has a row per step, so

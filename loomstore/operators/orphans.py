@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstore.functions.columns import plain_name
 from loomstore.sources.tables import drop_scratch, scratch
 
 PARENT = "kind string, ref_key string, parent_id string, since timestamp_ntz"
@@ -24,8 +25,8 @@ def plain_id(c: Column) -> Column:
 
 
 def name_key(c: Column) -> Column:
-    """An entity name as names are compared: outer white space off, lower case."""
-    return F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    """An entity name as names are compared."""
+    return plain_name(c)
 
 
 def _reference(field: str, kind: str, key: Column, used: Column) -> Column:

@@ -15,6 +15,10 @@ from loomstore.functions import columns as C
 from loomstore.schema import MEMORY_COLUMNS
 
 
+#: Rows of a page that are broadcast to fetch its columns; longer ones are joined.
+PAGE = 10_000
+
+
 def shown(rows: DataFrame) -> DataFrame:
     """The columns that reads of memories return, with importance 3 where it is null or 0."""
     return rows.select(*[C.importance_or_default(F.col(c)).cast("int").alias(c) if c == "importance" else c for c in MEMORY_COLUMNS])
@@ -70,8 +74,18 @@ def fetch(memories: DataFrame, ids: DataFrame) -> DataFrame:
 
 def listing(memories: DataFrame, user_id: str | None = None, namespace: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of live memories, newest first (ties: smaller id)."""
-    rows = once(shown(where_equal(active(memories), user_id=user_id, namespace=namespace)))
-    return rows.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+    rows = where_equal(active(memories), user_id=user_id, namespace=namespace)
+    return page(rows, limit, offset)
+
+
+def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of memories, newest first (ties: smaller id): chosen on time and id alone, the other columns fetched for it.
+
+    The page is a table of at most ``limit`` rows, so its join needs no shuffle of the memories.
+    """
+    keys = once(rows.select("id", "created_at")).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit).select("id")
+    wanted = F.broadcast(keys) if limit <= PAGE else keys
+    return once(shown(rows.join(wanted, "id", "left_semi"))).orderBy(F.desc("created_at"), "id")
 
 
 def listing_with_count(memories: DataFrame, user_id: str | None = None, namespace: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -91,7 +105,7 @@ def recent(memories: DataFrame, namespace: str | None = None, since: datetime |
     rows = where_equal(active(memories), namespace=namespace)
     if since is not None:
         rows = rows.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
-    return once(shown(rows)).orderBy(F.desc("created_at"), "id").limit(limit)
+    return page(rows, limit)
 
 
 def stats(memories: DataFrame, user_id: str | None = None) -> DataFrame:
@@ -105,21 +119,30 @@ def namespaces(table: DataFrame) -> DataFrame:
     return table.select("uid", "name", F.coalesce("description", F.lit("")).alias("description")).distinct().orderBy("uid")
 
 
+def of_ends(relations: DataFrame, source_id: str | None = None, target_id: str | None = None) -> DataFrame:
+    """The rows with these ends in any letter case, by a filter that stands below the removal of repeated deliveries."""
+    for column, value in (("source_id", source_id), ("target_id", target_id)):
+        if value is not None:
+            relations = relations.where(F.lower(column) == value.lower())
+    return relations
+
+
 def relations_by_source(relations: DataFrame, source_id: str, link_type: str | None = None) -> DataFrame:
-    return where_equal(clean_relations(relations), source_id=source_id, link_type=link_type).orderBy(F.desc("created_at"), "id")
+    return where_equal(clean_relations(of_ends(relations, source_id)), source_id=source_id, link_type=link_type).orderBy(F.desc("created_at"), "id")
 
 
 def relations_by_target(relations: DataFrame, target_id: str, link_type: str | None = None) -> DataFrame:
-    return where_equal(clean_relations(relations), target_id=target_id, link_type=link_type).orderBy(F.desc("created_at"), "id")
+    return where_equal(clean_relations(of_ends(relations, None, target_id)), target_id=target_id, link_type=link_type).orderBy(F.desc("created_at"), "id")
 
 
 def relations_between(relations: DataFrame, source_id: str, target_id: str) -> DataFrame:
-    return where_equal(clean_relations(relations), source_id=source_id, target_id=target_id)
+    return where_equal(clean_relations(of_ends(relations, source_id, target_id)), source_id=source_id, target_id=target_id)
 
 
 def relations_unified(relations: DataFrame, memory_id: str, link_type: str | None = None) -> DataFrame:
     """Outgoing and incoming relations with their direction; a loop of one is both."""
-    r = where_equal(clean_relations(relations), link_type=link_type)
+    either = relations.where((F.lower("source_id") == memory_id.lower()) | (F.lower("target_id") == memory_id.lower()))
+    r = where_equal(clean_relations(either), link_type=link_type)
     out = r.where(F.col("source_id") == memory_id).withColumn("direction", F.lit("outgoing"))
     return out.unionByName(r.where(F.col("target_id") == memory_id).withColumn("direction", F.lit("incoming"))).orderBy(F.desc("created_at"), "id", "direction")
 
@@ -131,8 +154,7 @@ def as_json(rows: DataFrame, drop_nulls: bool = True) -> DataFrame:
 
 def from_arrays(spark, **arrays: list) -> DataFrame:
     """Parallel arrays as rows by position, with their place ``ord``; shorter arrays are filled with nulls."""
-    size = max((len(a) for a in arrays.values()), default=0)
-    rows = [tuple(a[i] if i < len(a) else None for a in arrays.values()) + (i,) for i in range(size)]
-    kinds = {k: next((type(x) for x in a if x is not None), str) for k, a in arrays.items()}
-    ddl = ", ".join(f"{k} " + {int: "long", float: "double", bool: "boolean"}.get(t, "string") for k, t in kinds.items())
-    return spark.createDataFrame(rows, (ddl + ", " if ddl else "") + "ord int")
+    kinds = {k: {int: "long", float: "double", bool: "boolean"}.get(next((type(x) for x in a if x is not None), str), "string") for k, a in arrays.items()}
+    one = spark.createDataFrame([tuple(list(a) for a in arrays.values())], ", ".join(f"{k} array<{t}>" for k, t in kinds.items())) if arrays else spark.createDataFrame([], "none array<string>")
+    zipped = one.select(F.posexplode(F.arrays_zip(*[F.col(c) for c in one.columns])).alias("ord", "x"))
+    return zipped.select(*[F.col(f"x.{k}").alias(k) for k in arrays], "ord")

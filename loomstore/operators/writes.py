@@ -107,8 +107,12 @@ def upsert_memories(memories: DataFrame, rows: DataFrame, now: datetime, order:
 
 
 def update_memories(memories: DataFrame, changes: DataFrame, now: datetime) -> DataFrame:
-    """``changes`` (id, content, metadata, importance): what is not null replaces; the content hash stays as it is."""
-    c = pick_per_key(changes.select("id", "content", "metadata", "importance").withColumn("ord", F.lit(0)), ["id"], "ord").select(
+    """``changes`` (id, content, metadata, importance[, ord]): what is not null replaces; the content hash stays as it is.
+
+    Of several changes of one id the one with the largest ``ord`` counts; without one the largest by its values.
+    """
+    order = F.col("ord") if "ord" in changes.columns else F.struct("content", "metadata", "importance")
+    c = pick_per_key(changes.select("id", "content", "metadata", "importance", order.alias("ord")), ["id"], "ord").select(
         F.col("id").alias("c_id"), F.col("content").alias("c_content"), F.col("metadata").alias("c_metadata"), F.col("importance").alias("c_importance")
     )
     hit = F.col("c_id").isNotNull()

@@ -13,7 +13,7 @@ from loomstore.functions.embed import embed
 from loomstore.operators import dedup, hashes, ledger, metrics, reads, search, writes
 from loomstore.plans.memory import BASE, NOW, NS, USER, memories, relations
 from loomstore.plans.memory import _IMPORTANCE, _NAME
-from loomstore.sources.tables import read_table
+from loomstore.sources.tables import read_table, scratch
 from loomstore.streaming import streams
 
 QUERIES: dict = {}
@@ -33,16 +33,12 @@ def query(sql: str | None = None, base: str = BASE):
 
 # Search; the vectors of memories are taken from the table of embeddings by the start of the id
 
-#: The embeddings that the SQL of the vector_search queries takes; everything else takes the whole table.
-POINTS = 500
-
-
-def vectors(spark: SparkSession, d: str, points: int | None = None) -> DataFrame:
-    """Live memories with an embedding each, from all embeddings (vec_id counts from 0) or the first ``points``."""
-    m = reads.once(reads.active(memories(spark, d)).select("id", "user_id", "namespace", "importance"))
+def vectors(spark: SparkSession, d: str, with_archived: bool = False) -> DataFrame:
+    """Memories with an embedding each (vec_id counts from 0; all embeddings take part), live ones unless told otherwise."""
+    m = memories(spark, d)
+    m = reads.once((m if with_archived else reads.active(m)).select("id", "user_id", "namespace", "importance"))
     e = read_table(spark, d, "embeddings")
-    points = points or e.count()
-    return m.join(e.where(F.col("vec_id") < points), F.conv(F.substring("id", 1, 6), 16, 10).cast("long") % points == F.col("vec_id")).select("id", "embedding", "user_id", "namespace", C.importance_or_default(F.col("importance")).alias("importance"))
+    return m.join(e, F.conv(F.substring("id", 1, 6), 16, 10).cast("long") % max(1, e.count()) == F.col("vec_id")).select("id", "embedding", "user_id", "namespace", C.importance_or_default(F.col("importance")).alias("importance"))
 
 
 def _query_vector(spark: SparkSession, d: str, n: int) -> list[float]:
@@ -50,7 +46,7 @@ def _query_vector(spark: SparkSession, d: str, n: int) -> list[float]:
 
 
 _V = f""", v AS (SELECT a.id, e.embedding::DOUBLE[] AS e, a.user_id, a.namespace, CASE WHEN importance IS NULL OR importance = 0 THEN 3 ELSE importance END AS importance
-  FROM a JOIN embeddings e ON e.vec_id = CAST('0x' || substr(a.id, 1, 6) AS INTEGER) % {POINTS} WHERE e.vec_id < {POINTS})
+  FROM a JOIN embeddings e ON e.vec_id = CAST('0x' || substr(a.id, 1, 6) AS INTEGER) % (SELECT count(*) FROM embeddings))
 """
 
 
@@ -61,22 +57,28 @@ WHERE s >= {least} ORDER BY score DESC, id LIMIT {k}"""
 
 @query(_V + _top(7, "true", 0.2, 200))
 def vector_search_filtered(spark, d):
-    return search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 7), 200, 0.2)
+    return search.top_k(vectors(spark, d), _query_vector(spark, d, 7), 200, 0.2)
 
 
 @query(_V + _top(8, f"user_id = '{USER}'", 0.1))
 def vector_search_of_user(spark, d):
-    return search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 8), 10, 0.1, user_id=USER)
+    return search.top_k(vectors(spark, d), _query_vector(spark, d, 8), 10, 0.1, user_id=USER)
+
+
+@query(_V.replace("FROM a JOIN", "FROM m a JOIN") + _top(8, f"user_id = '{USER}'", 0.1))
+def vector_search_with_archived(spark, d):
+    """The first form of the search: of one user, archived memories included."""
+    return search.top_k(vectors(spark, d, True), _query_vector(spark, d, 8), 10, 0.1, user_id=USER)
 
 
 @query(_V + _top(9, f"namespace = '{NS}' AND user_id = '{USER}'", 0.0))
 def vector_search_user_namespace(spark, d):
-    return search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 9), 10, 0.0, USER, NS)
+    return search.top_k(vectors(spark, d), _query_vector(spark, d, 9), 10, 0.0, USER, NS)
 
 
 @query(_V + ", h AS (" + _top(10, f"namespace = '{NS}'", 0.0, 50) + f") SELECT h.id, a.content, a.metadata, a.namespace, {_IMPORTANCE}, h.score FROM h JOIN a ON a.id = h.id")
 def vector_search_hydrated(spark, d):
-    return search.hydrate(search.top_k(vectors(spark, d, POINTS), _query_vector(spark, d, 10), 50, 0.0, namespace=NS), memories(spark, d)).withColumn("importance", C.importance_or_default(F.col("importance")).cast("int"))
+    return search.hydrate(search.top_k(vectors(spark, d), _query_vector(spark, d, 10), 50, 0.0, namespace=NS), memories(spark, d)).withColumn("importance", C.importance_or_default(F.col("importance")).cast("int"))
 
 
 @query(
@@ -195,9 +197,47 @@ def dedup_ratio(spark, d):
     return dedup.ratio(dedup.decisions(_incoming(spark, d), memories(spark, d)))
 
 
+_HEX = f"md5(o.namespace || chr(31) || o.content_hash || chr(31) || '{NOW.isoformat(' ')}')"
+_NEW_ID = "substr(#, 1, 8) || '-' || substr(#, 9, 4) || '-4' || substr(#, 14, 3) || '-a' || substr(#, 18, 3) || '-' || substr(#, 21, 12)".replace("#", _HEX)
+_INS = """, ins AS (SELECT o.ord, row_number() OVER (PARTITION BY o.namespace, o.content_hash ORDER BY o.ord) = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.namespace = o.namespace AND a.content_hash = o.content_hash) AS made FROM out o WHERE action = 'insert'),
+res AS (SELECT o.ord, o.namespace, CASE WHEN o.action = 'insert' AND NOT ins.made THEN 'skip' ELSE o.action END AS action, CASE WHEN o.action = 'insert' THEN """ + _NEW_ID + """ ELSE o.existing_id END AS id FROM out o LEFT JOIN ins USING (ord))
+"""
+
+
+@query(_DEDUP + _INS + "SELECT count(*) AS total, count(*) FILTER (action = 'insert') AS n_insert, count(*) FILTER (action = 'skip') AS n_skip, count(*) FILTER (action = 'update') AS n_update FROM res")
+def ingest_summary(spark, d):
+    return dedup.ingest_summary(dedup.ingest(_incoming(spark, d), reads.once(memories(spark, d)), relations(spark, d), read_table(spark, d, "memory_namespaces"), NOW)["results"])
+
+
+@query(
+    _DEDUP + _INS + f""", n AS (SELECT res.id, i.user_id, i.content, CASE WHEN json_valid(i.metadata) THEN i.metadata ELSE '{{}}' END AS j, i.namespace, i.content_hash FROM res JOIN i USING (ord) WHERE res.action = 'insert'),
+l AS (SELECT id AS source_id, unnest(json_extract(j, '$.links[*]')) AS l FROM n),
+e AS (SELECT source_id, json_extract_string(l, '$.type') AS link_type, json_extract_string(l, '$.target') AS target FROM l),
+made AS (SELECT DISTINCT source_id, link_type, target FROM e WHERE link_type IS NOT NULL AND regexp_full_match(target, '{{C.UUID[1:-1]}}') AND target IN (SELECT id FROM m UNION SELECT id FROM n)
+  UNION ALL SELECT source_id, link_type, target FROM e WHERE link_type IS NOT NULL AND NOT coalesce(regexp_full_match(target, '{{C.UUID[1:-1]}}'), false))
+SELECT 'memory' AS kind, id AS a, content_hash AS b, user_id || '/' || namespace AS c FROM n UNION ALL SELECT 'relation', source_id, link_type, coalesce(target, '') FROM made
+UNION ALL SELECT 'vector', id, namespace, '256' FROM n WHERE regexp_matches(content, '[\\p{{L}}\\p{{N}}]')""".replace("{{", "{").replace("}}", "}").replace("{C.UUID[1:-1]}", C.UUID[1:-1])
+)
+def store_pipeline(spark, d):
+    """A batch stored as a whole: what it adds to memories, relations and vectors."""
+    from loomstore.api import MemoryStore
+
+    old = reads.once(memories(spark, d))
+    vectors0 = spark.createDataFrame([], "id string, embedding array<float>, user_id string, namespace string, importance int")
+    r = relations(spark, d)
+    new, _ = MemoryStore(old, r, read_table(spark, d, "memory_namespaces"), spark.createDataFrame([], "source_type string"), vectors0, NOW).ingest(_incoming(spark, d))
+    added = new.memories.join(old.select("id"), "id", "left_anti")
+    links = new.relations.where(F.col("created_at") == writes.at(NOW)).join(added.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return (
+        added.select(F.lit("memory").alias("kind"), F.col("id").alias("a"), F.col("content_hash").alias("b"), F.concat_ws("/", "user_id", "namespace").alias("c"))
+        .unionByName(links.select(F.lit("relation").alias("kind"), F.col("source_id").alias("a"), F.col("link_type").alias("b"), F.coalesce("target_id", "target_name", F.lit("")).alias("c")))
+        .unionByName(new.vectors.where(F.col("embedding").isNotNull()).select(F.lit("vector").alias("kind"), F.col("id").alias("a"), F.col("namespace").alias("b"), F.size("embedding").cast("string").alias("c")))
+    )
+
+
 @query(
     _DEDUP + """, ins AS (SELECT o.ord, row_number() OVER (PARTITION BY o.namespace, o.content_hash ORDER BY o.ord) = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.namespace = o.namespace AND a.content_hash = o.content_hash) AS made FROM out o WHERE action = 'insert')
-SELECT o.ord, CASE WHEN o.action = 'insert' AND NOT ins.made THEN 'skip' ELSE o.action END AS action, o.namespace FROM out o LEFT JOIN ins USING (ord)"""
+SELECT o.ord, CASE WHEN o.action = 'insert' AND NOT ins.made THEN 'skip' ELSE o.action END AS action, o.namespace, CASE WHEN o.action = 'insert' THEN """ + _NEW_ID + """ ELSE o.existing_id END AS id FROM out o LEFT JOIN ins USING (ord)"""
 )
 def ingest_batch_results(spark, d):
     return dedup.ingest(_incoming(spark, d), reads.once(memories(spark, d)), relations(spark, d), read_table(spark, d, "memory_namespaces"), NOW)["results"]
@@ -308,9 +348,11 @@ def ledger_reconcile(spark, d):
     return ledger.reconcile(memories(spark, d), a_ledger(spark, d), vectors(spark, d))
 
 
-@query()
+@query(_LEDGER + _V + """SELECT v.id, len(v.e) AS dims, array_to_string(list_sort(list_filter(['user_id=' || a.user_id, 'content=' || a.content, 'namespace=' || a.namespace, 'metadata=' || a.metadata, 'importance=' || coalesce(a.importance, 3), 'content_hash=' || a.content_hash,
+  'created_at=' || strftime(a.created_at, '%Y-%m-%dT%H:%M:%S.%f')], lambda x: x IS NOT NULL)), chr(10)) AS fields FROM v JOIN a ON a.id = v.id""")
 def ledger_points(spark, d):
-    return ledger.points(memories(spark, d), vectors(spark, d))
+    p = ledger.points(memories(spark, d), vectors(spark, d)).select("id", F.size("embedding").alias("dims"), F.from_json("payload", "map<string,string>").alias("j"))
+    return p.select("id", "dims", F.array_join(F.array_sort(F.transform(F.map_entries("j"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n").alias("fields"))
 
 
 # A18, A20, A21, 2.13: metrics, from events
@@ -384,6 +426,38 @@ def alert_backlog(spark, d):
     return metrics.holds(r, ["event_type"], 1800, 1800).select("event_type", "at", "alert")
 
 
+#: Fixed values: (rule, kind, metric, part, label, above, limit, for_s) of the twenty rules, over events in place of metrics
+#: (the type is the metric, the user the label); thresholds are scaled to these and each window is a day long.
+_RULES = (
+    ("O01", "gauge", "signup", None, None, False, 1.0, 60), ("O02", "gauge", "click", None, None, True, 40.0, 300), ("O03", "rate", "error", None, None, True, 0.0, 0), ("O04", "age", "view", None, None, True, 3600.0, 0), ("O05", "age", "error", None, None, True, 3600.0, 600),
+    ("O06", "age", "purchase", None, None, True, 7200.0, 3600), ("O07", "gauge", "view", None, None, False, 2.0, 60), ("O08", "gauge_ratio", "error", "view", None, True, 0.85, 0), ("O09", "ratio", "view", "error", None, True, 0.3, 600), ("O10", "p95", "view", None, None, True, 20.0, 0),
+    ("O11", "gauge", "purchase", None, None, False, 1.5, 120), ("O12", "ratio", "click", "error", None, True, 0.1, 0), ("O13", "p95", "error", None, None, True, 30.0, 600), ("O14", "p95", "purchase", None, None, True, 5.0, 0), ("O15", "rate", "click", None, None, True, 0.0005, 0),
+    ("O16", "rate", "signup", None, None, True, 0.0, 0), ("O17", "gauge", "error", None, None, True, 30.0, 300), ("O18", "ratio", "purchase", "error", None, True, 0.05, 0), ("O19", "p95", "signup", None, None, True, 10.0, 0), ("O20", "p95", "click", None, "7", True, 1.0, 0),
+)
+_RULE = "rule string, kind string, metric string, part string, label string, above boolean, `limit` double, for_s long"
+_SQL_RULES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in _RULES)
+
+
+@query(
+    _windows(86400, 21600).replace("FROM events)", "FROM events WHERE value IS NOT NULL)") + f""", u AS (SELECT * FROM (VALUES {_SQL_RULES}) t(rule, kind, metric, part, label, above, lim, for_s)),
+les AS (SELECT unnest([{', '.join(str(b) + '::DOUBLE' for b in _BOUNDS)}, 'inf'::DOUBLE]) AS le),
+j AS (SELECT u.*, w."at", w.user_id::VARCHAR AS series, w.value, w.ts, w.event_type = u.metric AS main FROM w JOIN u ON (w.event_type = u.metric OR w.event_type = u.part) AND (u.label IS NULL OR u.label = w.user_id::VARCHAR)),
+h AS (SELECT rule, series, "at", le, count(*) FILTER (value <= le) AS n, count(*) AS total FROM j, les WHERE main AND kind = 'p95' GROUP BY ALL),
+hh AS (SELECT *, lag(le) OVER o AS low, lag(n) OVER o AS base FROM h WINDOW o AS (PARTITION BY rule, series, "at" ORDER BY le)),
+p AS (SELECT rule, series, "at", CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * (0.95::DOUBLE * total - coalesce(base, 0)) / (n - coalesce(base, 0)) END AS p95 FROM hh WHERE n >= 0.95::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY rule, series, "at" ORDER BY le) = 1),
+g AS (SELECT rule, kind, above, lim, for_s, series, "at", sum(value) FILTER (main) AS total, sum(value) FILTER (NOT main) AS part_total, max(value) FILTER (main) AS top, max(value) FILTER (NOT main) AS part_top, max(epoch_us(ts) / 1e6) FILTER (main) AS last FROM j GROUP BY ALL),
+s AS (SELECT g.*, CASE kind WHEN 'rate' THEN total / 86400.0::DOUBLE WHEN 'ratio' THEN coalesce(part_total, 0) / nullif(coalesce(total, 0) + coalesce(part_total, 0), 0) WHEN 'gauge' THEN top WHEN 'gauge_ratio' THEN top / nullif(part_top, 0) WHEN 'p95' THEN p95 ELSE "at" - last END AS measure
+  FROM g LEFT JOIN p USING (rule, series, "at")),
+f AS (SELECT *, CASE WHEN above THEN measure > lim ELSE measure < lim END AS firing, coalesce("at" - lag("at") OVER (PARTITION BY rule, series ORDER BY "at"), 21600) AS gap FROM s WHERE measure IS NOT NULL),
+k AS (SELECT *, sum(CASE WHEN NOT firing OR gap > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY rule, series ORDER BY "at") AS run FROM f)
+SELECT rule, series, "at", round(measure, 6) AS measure, firing AND "at" - min("at") FILTER (firing) OVER (PARTITION BY rule, series, run) >= for_s AS alert FROM k""",
+    "",
+)
+def alert_rules(spark, d):
+    log = _log(spark, d).select("ts", F.col("event_type").alias("metric"), F.col("user_id").cast("string").alias("label"), "value")
+    return metrics.alerts(log, spark.createDataFrame(list(_RULES), _RULE), _BOUNDS, 86400, 21600).withColumn("measure", F.round("measure", 6))
+
+
 @query("SELECT event_type, round(epoch_us(TIMESTAMP '2026-06-01') / 1e6 - max(epoch_us(ts)) / 1e6, 3) AS age_s FROM events WHERE value > 50 GROUP BY event_type", "")
 def metric_active_age(spark, d):
     return metrics.active_age(_log(spark, d), F.col("value") > 50, ["event_type"], writes.at(NOW)).withColumn("age_s", F.round("age_s", 3))
@@ -445,3 +519,30 @@ def stream_dedup_ratio(spark, d):
 @query(f"SELECT id, created_at FROM m WHERE created_at > TIMESTAMP '2026-01-01'")
 def stream_since(spark, d):
     return reads.once(streams.since(spark, f"{d}/memories.parquet", datetime(2026, 1, 1)).select("id", "created_at"))
+
+
+@query(_HASH + "SELECT source_type, source_id, content_hash, updated_at FROM reg", "")
+def stream_hash_state(spark, d):
+    """The registry as keyed state: the last row of each resource."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKS)
+    log = hash_log(spark, d).withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    s = _stream(spark, d, "events").select(
+        F.element_at(F.array(*[F.lit(x) for x in ("session", "file", "project")]), (F.col("event_id") % 3 + 1).cast("int")).alias("source_type"), F.col("user_id").cast("string").alias("source_id"), F.sha2("props", 256).alias("content_hash"),
+        F.length("props").cast("long").alias("size_bytes"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_id").alias("ord"),
+    ).select(*[c for c in log.columns if c in ("source_type", "source_id", "content_hash", "size_bytes", "ts_us", "ord")])
+    out = streams.run_once(streams.last_hashes(s), "loom_hashes", "update")
+    last = out.groupBy("source_type", "source_id").agg(F.max_by("content_hash", "updated_us").alias("content_hash"), F.max("updated_us").alias("us"))
+    return last.select("source_type", "source_id", "content_hash", F.timestamp_micros("us").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query(_DEDUP + _INS + "SELECT ord, namespace, action, id FROM res")
+def stream_store_loop(spark, d):
+    """The store grown by a stream: one file is one micro-batch, so its results are those of one ingest."""
+    s = _stream(spark, d, "memory_inputs").select(F.col("input_id").alias("ord"), "user_id", "content", "metadata", "namespace", "importance")
+    store = {"memories": reads.once(memories(spark, d)), "relations": relations(spark, d), "namespaces": read_table(spark, d, "memory_namespaces")}
+    taken: list[DataFrame] = []
+    streams.store_loop(s, store, NOW, lambda results, n: taken.append(scratch(results.select("ord", "namespace", "action", "id"), "results")))
+    out = spark.createDataFrame([], "ord long, namespace string, action string, id string")
+    for t in taken:
+        out = out.unionByName(t)
+    return out

@@ -28,6 +28,8 @@ hub AS (SELECT min(source_id) AS id FROM (SELECT source_id, count(*) AS n FROM r
 """
 _IMPORTANCE = "CASE WHEN importance IS NULL OR importance = 0 THEN 3 ELSE importance END AS importance"
 _COLUMNS = f"id, user_id, content, metadata, namespace, {_IMPORTANCE}, created_at, updated_at, content_hash"
+#: A JSON object as one text of its keys in order, each with its value's JSON (as ``columns.json_pairs``).
+_PAIRS = "array_to_string(list_sort(list_transform(json_keys({0}), lambda k: k || '=' || json_extract({0}, '$.\"' || k || '\"')::VARCHAR)), '&')"
 _SAFE = "CASE WHEN json_valid(metadata) THEN metadata ELSE '{}' END"
 
 
@@ -185,7 +187,14 @@ def graph_stats_by_link_type(spark, d):
     return graph.stats_by_link_type(relations(spark, d))
 
 
-@query()
+@query(
+    """, x AS (SELECT a.id, coalesce(a.namespace, '') AS namespace, l.id IS NOT NULL AS is_linked FROM a LEFT JOIN linked l ON l.id = a.id),
+n AS (SELECT namespace, count(*) AS total, count(*) FILTER (is_linked) AS linked, count(*) FILTER (NOT is_linked) AS orphans FROM x GROUP BY 1), t AS (SELECT coalesce(link_type, '') AS link_type, count(*) AS cnt FROM r GROUP BY 1)
+SELECT (SELECT count(*) FROM x) AS total_granules, (SELECT count(*) FROM r) AS total_relations, (SELECT count(*) FROM x WHERE is_linked) AS linked_granules, (SELECT count(*) FROM x WHERE NOT is_linked) AS orphans,
+  (SELECT CASE count(*) WHEN 0 THEN 0.0 ELSE round(2.0 * (SELECT count(*) FROM r) / count(*), 2) END FROM x)::DOUBLE AS avg_connections,
+  (SELECT '{' || string_agg('"' || namespace || '":{"total":' || total || ',"linked":' || linked || ',"orphans":' || orphans || '}', ',' ORDER BY namespace) || '}' FROM n) AS by_namespace,
+  (SELECT '{' || string_agg('"' || link_type || '":' || cnt, ',' ORDER BY link_type) || '}' FROM t) AS by_link_type"""
+)
 def graph_stats_json(spark, d):
     return graph.stats_json(memories(spark, d), relations(spark, d))
 
@@ -375,13 +384,20 @@ def memory_insert_batch(spark, d):
 
 @query(
     _INPUT + """, last AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY namespace, content_hash ORDER BY input_id DESC) = 1),
-k AS (SELECT * FROM a WHERE content_hash IS NOT NULL)
-SELECT m.id, CASE WHEN l.id IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(l.importance, m.importance, 0) AS importance, coalesce(l.content, m.content) AS content
-FROM m LEFT JOIN k ON k.id = m.id LEFT JOIN last l ON k.namespace = l.namespace AND k.content_hash = l.content_hash
-UNION ALL SELECT l.id, 'inserted', l.importance, l.content FROM last l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.namespace = l.namespace AND k.content_hash = l.content_hash)"""
+k AS (SELECT * FROM a WHERE content_hash IS NOT NULL),
+objects AS (SELECT * REPLACE (CASE WHEN json_valid(metadata) AND metadata[1] = '{' THEN metadata ELSE '{}' END AS metadata) FROM m),
+own AS (SELECT o.id, unnest(json_keys(o.metadata)) AS key, o.metadata FROM objects o),
+matched AS (SELECT k.id, CASE WHEN json_valid(l.metadata) THEN l.metadata ELSE '{}' END AS new FROM k JOIN last l ON k.namespace = l.namespace AND k.content_hash = l.content_hash),
+merged AS (SELECT id, array_to_string(list_sort(list(key || '=' || v)), '&') AS pairs FROM (
+  SELECT b.id, o.key, json_extract(o.metadata, '$."' || o.key || '"')::VARCHAR AS v FROM matched b JOIN own o ON o.id = b.id WHERE NOT list_contains(json_keys(b.new), o.key)
+  UNION ALL SELECT id, key, json_extract(new, '$."' || key || '"')::VARCHAR FROM (SELECT id, new, unnest(json_keys(new)) AS key FROM matched)) GROUP BY id)
+SELECT m.id, CASE WHEN l.id IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(l.importance, m.importance, 0) AS importance, coalesce(l.content, m.content) AS content,
+  CASE WHEN l.id IS NULL THEN coalesce(m.metadata, '') ELSE array_to_string(list_sort(regexp_split_to_array(coalesce(g.pairs, ''), '[\\[\\]{},&]')), ',') END AS metadata
+FROM m LEFT JOIN k ON k.id = m.id LEFT JOIN last l ON k.namespace = l.namespace AND k.content_hash = l.content_hash LEFT JOIN merged g ON g.id = m.id
+UNION ALL SELECT l.id, 'inserted', l.importance, l.content, l.metadata FROM last l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.namespace = l.namespace AND k.content_hash = l.content_hash)"""
 )
 def memory_upsert(spark, d):
-    return writes.upsert_memories(_store(spark, d), _inputs(spark, d), NOW).select("id", "action", F.coalesce("importance", F.lit(0)).alias("importance"), "content")
+    return writes.upsert_memories(_store(spark, d), _inputs(spark, d), NOW).select("id", "action", F.coalesce("importance", F.lit(0)).alias("importance"), "content", F.coalesce(F.when(F.col("action") == "updated", F.array_join(F.array_sort(F.split(C.json_pairs(F.col("metadata")), r"[\[\]{},&]")), ",")).otherwise(F.col("metadata")), F.lit("")).alias("metadata"))
 
 
 @query("SELECT m.id, coalesce(m.namespace_id, n.id) AS namespace_id FROM m LEFT JOIN (SELECT uid, min(id) AS id FROM memory_namespaces GROUP BY uid) n ON n.uid = m.namespace")
@@ -408,7 +424,11 @@ def link_type_check(spark, d):
     return relations(spark, d).select("link_type", F.col("link_type").isin(*LINK_TYPES).alias("is_known")).distinct()
 
 
-@query()
+@query(
+    """SELECT to_json(m)->>'id' AS id, array_to_string(list_sort(list_filter(['id=' || id, 'user_id=' || user_id, 'content=' || content, 'metadata=' || metadata, 'namespace=' || namespace, 'namespace_id=' || namespace_id, 'content_hash=' || content_hash, 'source_type=' || source_type,
+  'source_location=' || source_location, 'version=' || version, 'is_archived=' || is_archived, 'importance=' || importance, 'created_at=' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'), 'updated_at=' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f')], lambda x: x IS NOT NULL)), chr(10)) AS fields FROM m"""
+)
 def memory_json(spark, d):
-    """Memories as one JSON text each."""
-    return reads.as_json(_store(spark, d))
+    """Memories as one JSON text each, read back as their fields in order."""
+    j = reads.as_json(_store(spark, d)).select(F.from_json("json", "map<string,string>").alias("j"))
+    return j.select(F.col("j")["id"].alias("id"), F.array_join(F.array_sort(F.transform(F.map_entries("j"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n").alias("fields"))

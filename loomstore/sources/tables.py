@@ -14,11 +14,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session (tests) gets a temporary folder of its own; on a cluster that raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        folder = context._loomstore_folder = getattr(context, "_loomstore_folder", None) or tempfile.mkdtemp(prefix="loomstore-")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="loomstore-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

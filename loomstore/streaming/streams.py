@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from loomstore.functions import columns as C
 from loomstore.operators import dedup
-from loomstore.sources.tables import shared_folder
+from loomstore.sources.tables import drop_scratch, scratch, shared_folder
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,15 +48,29 @@ def first_contents(stream: DataFrame, ts: str = "arrived_at", late: str | None =
     keyed = stream.where(F.col("content").isNotNull()).withColumns({"namespace": F.coalesce("namespace", F.lit("default")), "own_hash": C.sha256(F.col("content")), "event_time": F.col(ts).cast("timestamp")})
     if late:
         return keyed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["namespace", "own_hash"])
-    return keyed.dropDuplicates(["namespace", "own_hash"])
+    return keyed.dropDuplicates(["namespace", "own_hash"])  # exact over all time: the state holds two short keys per content
 
 
-def store_loop(stream: DataFrame, memories: DataFrame, take: Callable[[DataFrame, int], None]) -> None:
-    """Each micro-batch judged against the store by :func:`loomstore.operators.dedup.decisions`; ``take`` gets the decisions.
+def store_loop(stream: DataFrame, store: dict[str, DataFrame], now: datetime, take: Callable[[DataFrame, int], None]) -> dict[str, DataFrame]:
+    """Each micro-batch taken in by :func:`loomstore.operators.dedup.ingest`; ``take`` gets its results; the grown store is returned.
 
-    Batches are judged one after the other, so the result depends on the order of arrival, as it does for single calls.
+    ``store`` has memories, relations and namespaces.  A batch is judged against the store that the batches before it
+    left, which is written to the shared folder each time, so the result depends on the order of arrival, as it does for
+    single calls.
     """
-    run_once(stream, "store-loop", each=lambda batch, n: take(dedup.decisions(batch, memories), n))
+    state = dict(store)
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch = scratch(batch, "micro-batch")
+        out = dedup.ingest(batch, state["memories"], state["relations"], state["namespaces"], now)
+        new = {k: scratch(out[k], k) for k in ("memories", "relations", "namespaces")}
+        take(out["results"], n)
+        for k, df in new.items():
+            drop_scratch(state[k])
+            state[k] = df
+
+    run_once(stream, "store-loop", each=each)
+    return state
 
 
 HASH_STATE = "content_hash string, size_bytes long, created_us long, updated_us long"
@@ -64,10 +78,13 @@ HASH_OUT = "source_type string, source_id string, content_hash string, size_byte
 
 
 class LastHash(StatefulProcessor):
-    """Last values per resource; ``updated_us`` moves only when the hash does."""
+    """Last values per resource; ``updated_us`` moves only when the hash does.  A resource that isn't told for ``ttl_ms`` is forgotten."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", HASH_STATE)
+        self.state = handle.getValueState("last", HASH_STATE, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
@@ -85,9 +102,12 @@ class LastHash(StatefulProcessor):
         pass
 
 
-def last_hashes(stream: DataFrame) -> DataFrame:
-    """The registry of resource hashes as keyed state over (source_type, source_id, content_hash, size_bytes, ts_us, ord), in update mode."""
-    return stream.groupBy("source_type", "source_id").transformWithStateInPandas(statefulProcessor=LastHash(), outputStructType=HASH_OUT, outputMode="Update", timeMode="None")
+def last_hashes(stream: DataFrame, ttl_days: int = 400) -> DataFrame:
+    """The registry of resource hashes as keyed state over (source_type, source_id, content_hash, size_bytes, ts_us, ord), in update mode.
+
+    State is kept for ``ttl_days`` of processing time after a resource was last told.
+    """
+    return stream.groupBy("source_type", "source_id").transformWithStateInPandas(statefulProcessor=LastHash(ttl_days * 86_400_000), outputStructType=HASH_OUT, outputMode="Update", timeMode="ProcessingTime")
 
 
 class CacheEntry(StatefulProcessor):
@@ -97,7 +117,8 @@ class CacheEntry(StatefulProcessor):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("made", "us long")
+        # an entry that nobody asks for outlives its time in the cache by a day of processing time at most
+        self.state = handle.getValueState("made", "us long", ttlDurationMs=self.ttl_us // 1000 + 86_400_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         made = self.state.get()[0] if self.state.exists() else None
@@ -117,7 +138,7 @@ class CacheEntry(StatefulProcessor):
 def cache_hits(stream: DataFrame, key: str, ts: str, ttl_s: int = 86_400) -> DataFrame:
     """Hits and misses per key and micro-batch of a cache whose entries live for ``ttl_s`` after they are made (update mode)."""
     timed = stream.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
-    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=CacheEntry(ttl_s * 1_000_000), outputStructType="key string, hits long, misses long", outputMode="Update", timeMode="None")
+    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=CacheEntry(ttl_s * 1_000_000), outputStructType="key string, hits long, misses long", outputMode="Update", timeMode="ProcessingTime")
 
 
 def running_ratio(decided: DataFrame) -> DataFrame:

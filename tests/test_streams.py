@@ -23,14 +23,26 @@ def test_hash_state_is_the_fold(spark, sf, tmp_path):
     assert rows(last) == rows(want)
 
 
-def test_store_loop_judges_batches(spark, sf):
-    from loomstore.plans.memory import memories
-
-    inputs = read_table(spark, sf, "memory_inputs")
-    r = spark.readStream.schema(inputs.schema).option("pathGlobFilter", "memory_inputs.parquet").parquet(sf)
-    seen = []
-    streams.store_loop(r.select(F.col("input_id").alias("ord"), "user_id", "content", "metadata", "namespace", "importance"), memories(spark, sf), lambda d, n: seen.append(d.count()))
-    assert sum(seen) == inputs.where("content IS NOT NULL").count()
+def test_store_loop_sees_the_batches_before(spark, sf, tmp_path):
+    """Equal entries in two micro-batches: inserted once; the decisions of all batches are those of single ingests in turn."""
+    from loomstore.operators import dedup, reads
+    from loomstore.plans.memory import memories, relations
+
+    folder = tmp_path / "in"
+    inputs = read_table(spark, sf, "memory_inputs").select(F.col("input_id").alias("ord"), "user_id", "content", "metadata", "namespace", "importance").where("ord <= 12")
+    again = inputs.withColumn("ord", F.col("ord") + 1000)
+    inputs.coalesce(1).write.parquet(str(folder / "a"))
+    again.coalesce(1).write.parquet(str(folder / "b"))
+    r = spark.readStream.schema(inputs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+    store = {"memories": reads.once(memories(spark, sf)), "relations": relations(spark, sf), "namespaces": read_table(spark, sf, "memory_namespaces")}
+    got, now = [], datetime(2026, 6, 1)
+    grown = streams.store_loop(r, store, now, lambda d, n: got.append(rows(d, "ord", "action", "id")))
+    assert len(got) == 2
+    first, second = sorted(got)
+    one = dedup.ingest(inputs, store["memories"], store["relations"], store["namespaces"], now)
+    assert {a for _, a, _ in first} >= {"insert"} and "insert" not in {a for _, a, _ in second}
+    assert rows(one["results"], "ord", "action", "id") in (first, [(o - 1000, a, i) for o, a, i in first])
+    assert grown["memories"].count() == one["memories"].count()
 
 
 def test_cache_ttl(spark, sf):
