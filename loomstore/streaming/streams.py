@@ -102,23 +102,24 @@ class LastHash(StatefulProcessor):
         pass
 
 
-def last_hashes(stream: DataFrame, ttl_days: int = 400) -> DataFrame:
+def last_hashes(stream: DataFrame, ttl_days: int | None = None) -> DataFrame:
     """The registry of resource hashes as keyed state over (source_type, source_id, content_hash, size_bytes, ts_us, ord), in update mode.
 
-    State is kept for ``ttl_days`` of processing time after a resource was last told.
+    State is kept for ``ttl_days`` of processing time after a resource was last told.  None keeps it for good, one short
+    row a resource, and is for runs that end: state that expires asks for batches without data, which never do.
     """
-    return stream.groupBy("source_type", "source_id").transformWithStateInPandas(statefulProcessor=LastHash(ttl_days * 86_400_000), outputStructType=HASH_OUT, outputMode="Update", timeMode="ProcessingTime")
+    return stream.groupBy("source_type", "source_id").transformWithStateInPandas(statefulProcessor=LastHash(ttl_days and ttl_days * 86_400_000), outputStructType=HASH_OUT, outputMode="Update", timeMode="ProcessingTime" if ttl_days else "None")
 
 
 class CacheEntry(StatefulProcessor):
     """Hits and misses of one key: an entry is made by a miss and lives for ``ttl_us`` of event time."""
 
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
+    def __init__(self, ttl_us: int, forget: bool):
+        self.ttl_us, self.forget = ttl_us, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # an entry that nobody asks for outlives its time in the cache by a day of processing time at most
-        self.state = handle.getValueState("made", "us long", ttlDurationMs=self.ttl_us // 1000 + 86_400_000)
+        self.state = handle.getValueState("made", "us long", ttlDurationMs=self.ttl_us // 1000 + 86_400_000 if self.forget else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         made = self.state.get()[0] if self.state.exists() else None
@@ -135,10 +136,13 @@ class CacheEntry(StatefulProcessor):
         pass
 
 
-def cache_hits(stream: DataFrame, key: str, ts: str, ttl_s: int = 86_400) -> DataFrame:
-    """Hits and misses per key and micro-batch of a cache whose entries live for ``ttl_s`` after they are made (update mode)."""
+def cache_hits(stream: DataFrame, key: str, ts: str, ttl_s: int = 86_400, forget: bool = False) -> DataFrame:
+    """Hits and misses per key and micro-batch of a cache whose entries live for ``ttl_s`` after they are made (update mode).
+
+    ``forget`` lets the state of entries that nobody asks for expire; it is for streams that run on, as in :func:`last_hashes`.
+    """
     timed = stream.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
-    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=CacheEntry(ttl_s * 1_000_000), outputStructType="key string, hits long, misses long", outputMode="Update", timeMode="ProcessingTime")
+    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=CacheEntry(ttl_s * 1_000_000, forget), outputStructType="key string, hits long, misses long", outputMode="Update", timeMode="ProcessingTime" if forget else "None")
 
 
 def running_ratio(decided: DataFrame) -> DataFrame:
