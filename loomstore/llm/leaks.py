@@ -7,8 +7,8 @@ then aligned with the item's words by Smith-Waterman, with a layer per number of
 is seen and not the best alone: a run of ``EXACT`` equal words, or a passage of ``PASSAGE`` words with at most one edit
 in ten, counts wherever it lies.
 
-A seed's rarity counts: one that stands in very many documents says little, so hits are needed on several; but none
-is dropped, however frequent.  The items are the stated query set; they go to the executors in blocks of bounded size.
+Stock lines, the frequent part of the items, give no seeds; what is left is rare, and no seed is dropped for standing
+in many documents, as that would lose passages: a single frequent seed says little, so several are needed.  The items are the stated query set; they go to the executors in blocks of bounded size.
 """
 
 from __future__ import annotations

@@ -90,4 +90,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found, "p7_survivors": p7_survivors, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored}
-SQL: dict = {"p1_found": sql.P1, "p2_found": sql.P2, "p2_neighbours": sql.P2_LISTS, "p5_found": sql.P5, "p7_found": sql.P7}
+SQL: dict = {"p1_found": sql.P1, "p2_found": sql.P2, "p2_neighbours": sql.P2_LISTS, "p5_found": sql.P5, "p5_copies": sql.P5_COPIES, "p7_found": sql.P7}

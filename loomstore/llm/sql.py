@@ -67,6 +67,10 @@ g AS (SELECT id, min(id) OVER w AS first_id, count(*) OVER w AS n FROM (SELECT D
 
 P5 = GROUPS + "SELECT first_id, id AS copy_id FROM g WHERE id <> first_id"
 
+P5_COPIES = GROUPS + """, w AS (SELECT coalesce(namespace, 'default') AS ns, content, count(*) AS n FROM memories WHERE content IS NOT NULL GROUP BY ALL),
+k AS (SELECT w.ns, c.canon, sum(w.n) AS n_rows, count(*) AS n_formats FROM w JOIN c ON c.content = w.content GROUP BY ALL)
+SELECT ns, n_rows::BIGINT AS n_rows, n_formats, count(*) AS n_contents FROM k GROUP BY ALL"""
+
 P7 = (
     GROUPS
     + """, x AS (SELECT DISTINCT g.first_id, g.id, s.updated_at, CASE WHEN s.importance BETWEEN 1 AND 5 THEN s.importance END AS importance,

@@ -99,7 +99,7 @@ def test_survivors(spark):
     out = {r.first_id: r for r in survivors(content_groups(df), df).collect()}
     assert {(k, r.best_id) for k, r in out.items() if r.clear} == {("a1", "a2"), ("c1", "c2"), ("e1", "e2")}
     assert set(out) == {"a1", "b1", "c1", "d1", "e1"}
-    assert out["a1"].importance in (3, 4) and json.loads(out["a1"].metadata) == {"k": "v", "l": "1"}
+    assert out["a1"].importance in (3, 4) and json.loads(out["a1"].metadata) == {"k": "v", "l": 1}
     assert survivors(content_groups(df.limit(0)), df).count() == 0
 
 
