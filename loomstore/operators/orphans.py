@@ -78,12 +78,13 @@ class OrphanState:
 
     parents: DataFrame
     refs: DataFrame
+    is_empty: bool = False
 
     @classmethod
     def empty(cls, spark) -> "OrphanState":
         return cls(
             spark.createDataFrame([], PARENT),
-            spark.createDataFrame([], "relation_id string, ref_field string, kind string, ref_key string, told_at timestamp_ntz, orphan boolean"),
+            spark.createDataFrame([], "relation_id string, ref_field string, kind string, ref_key string, told_at timestamp_ntz, orphan boolean"), True,
         )
 
 
@@ -99,42 +100,54 @@ def _probe(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def advance(state: OrphanState, new_refs: DataFrame | None = None, arrived: DataFrame | None = None, deleted: DataFrame | None = None) -> OrphanState:
-    """The state after one batch; both tables are written to the shared folder.
+    """The state after one batch; what the batch changes is written to the shared folder, the state before stays as it is.
 
     ``new_refs`` as of :func:`reference_rows`, ``arrived`` as of :func:`parent_rows`, ``deleted`` has ``parent_id``.
-    A reference that is told again replaces nothing; a parent that arrives again stays one parent.  Nulls match nothing.
+    New parents are appended, so a batch of arrivals rewrites no parent; deletions are kept as a list that takes the
+    parents away.  An arriving parent can only resolve references that wait as orphans, and a deletion can only reopen
+    references that don't: only those whose key the batch touched are probed again.  A reference that is told again
+    replaces nothing; a parent that arrives again stays one parent.  Nulls match nothing.  A batch can be run again from
+    the state before it; a caller that is done with a state calls :func:`forget`.
     """
     parents, refs = state.parents, state.refs
-    touched = []
+    on = (F.col("kind") == F.col("t_kind")) & (F.col("ref_key") == F.col("t_key"))
+    touched = None
+
+    def keys(rows: DataFrame, reopens: bool) -> DataFrame:
+        return rows.select(F.col("kind").alias("t_kind"), F.col("ref_key").alias("t_key")).distinct().withColumn("t_reopens", F.lit(reopens))
+
     if arrived is not None:
-        touched.append(arrived.select("kind", "ref_key"))
-        parents = parents.unionByName(arrived)
+        new = scratch(arrived.select("kind", "ref_key", "parent_id", "since"), "parents", ["kind", "ref_key"])
+        touched = keys(new, False)
+        parents = parents.unionByName(new)
     if deleted is not None:
-        gone = deleted.select(F.col("parent_id").alias("gone_id")).distinct()
-        touched.append(parents.join(gone, F.col("parent_id") == F.col("gone_id"), "left_semi").select("kind", "ref_key"))
+        gone = scratch(deleted.select(F.col("parent_id").alias("gone_id")).where(F.col("gone_id").isNotNull()).distinct(), "gone")
+        lost = keys(parents.join(gone, F.col("parent_id") == F.col("gone_id"), "left_semi"), True)
+        touched = lost if touched is None else touched.unionByName(lost)
         parents = parents.join(gone, F.col("parent_id") == F.col("gone_id"), "left_anti")
-    parents = scratch(parents, "parents")
-    kept, again = refs, None
-    if touched:
-        t = touched[0]
-        for more in touched[1:]:
-            t = t.unionByName(more)
-        t = t.groupBy(F.col("kind").alias("t_kind"), F.col("ref_key").alias("t_key")).agg(F.lit(1).alias("one"))
-        on = (F.col("kind") == F.col("t_kind")) & (F.col("ref_key") == F.col("t_key"))
-        marked = refs.join(t, on, "left")
-        kept = marked.where(F.col("one").isNull()).select(*refs.columns)
-        again = marked.where(F.col("one").isNotNull()).select("relation_id", "ref_field", "kind", "ref_key", "told_at")
-    probe = again
+    kept, probe = refs, None
+    if touched is not None:
+        # a key may be touched in both ways; a reference is looked at again where one of them can change it
+        marks = touched.groupBy("t_kind", "t_key").agg(F.bool_or("t_reopens").alias("reopens"), F.bool_or(~F.col("t_reopens")).alias("resolves"))
+        again = F.coalesce((F.col("orphan") & F.col("resolves")) | (~F.col("orphan") & F.col("reopens")), F.lit(False))
+        marked = refs.join(marks, on, "left").withColumn("again", again)
+        kept = marked.where(~F.col("again")).select(*refs.columns)
+        probe = marked.where("again").select("relation_id", "ref_field", "kind", "ref_key", "told_at")
     if new_refs is not None:
         fresh = new_refs.select("relation_id", "ref_field", "kind", "ref_key", "told_at")
-        if getattr(refs, "_scratch_path", None):
+        if not state.is_empty:
             fresh = fresh.join(refs.select("relation_id", "ref_field"), ["relation_id", "ref_field"], "left_anti")
         probe = fresh if probe is None else probe.unionByName(fresh)
-    out = kept if probe is None else kept.unionByName(_probe(probe, parents))
-    result = OrphanState(parents, scratch(out, "refs"))
-    drop_scratch(state.parents)
+    if probe is None:
+        return OrphanState(parents, refs, state.is_empty)
+    asked = scratch(probe, "probe")
+    wanted = parents.join(keys(asked, False).select("t_kind", "t_key"), on, "left_semi")
+    return OrphanState(parents, scratch(kept.unionByName(_probe(asked, wanted)), "refs"), False)
+
+
+def forget(state: OrphanState) -> None:
+    """Remove the references of a state whose successor is kept; its parents are part of the successor's."""
     drop_scratch(state.refs)
-    return result
 
 
 def orphan_references(relations: DataFrame, memories: DataFrame) -> DataFrame:
@@ -148,6 +161,7 @@ def orphan_references(relations: DataFrame, memories: DataFrame) -> DataFrame:
     first = advance(OrphanState.empty(relations.sparkSession), refs, parent_rows(memories))
     gone = memories.where("is_archived").select(plain_id(F.col("id")).alias("parent_id"))
     last = advance(first, deleted=gone)
+    forget(first)
     return last.refs.where("orphan").select("relation_id", "ref_field", "told_at")
 
 

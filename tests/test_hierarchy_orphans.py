@@ -91,5 +91,7 @@ def test_state_resolves_and_reopens(spark):
     assert rows(one.refs.where("orphan"), "relation_id") == [("r1",), ("r2",)]
     two = O.advance(one, arrived=spark.createDataFrame([("id", "p", "p", t(4)), ("id", "q", "q", t(6))], O.PARENT))
     assert rows(two.refs.where("orphan"), "relation_id") == [("r2",)]  # q came too late
+    again = O.advance(one, arrived=spark.createDataFrame([("id", "p", "p", t(4)), ("id", "q", "q", t(6))], O.PARENT))
+    assert rows(again.refs) == rows(two.refs)  # a batch can be run again from the state before it
     three = O.advance(two, new_refs=refs, deleted=spark.createDataFrame([("p",)], "parent_id string"))
     assert rows(three.refs.where("orphan"), "relation_id") == [("r1",), ("r2",)] and three.refs.count() == 2
