@@ -392,12 +392,12 @@ merged AS (SELECT id, array_to_string(list_sort(list(key || '=' || v)), '&') AS
   SELECT b.id, o.key, json_extract(o.metadata, '$."' || o.key || '"')::VARCHAR AS v FROM matched b JOIN own o ON o.id = b.id WHERE NOT list_contains(json_keys(b.new), o.key)
   UNION ALL SELECT id, key, json_extract(new, '$."' || key || '"')::VARCHAR FROM (SELECT id, new, unnest(json_keys(new)) AS key FROM matched)) GROUP BY id)
 SELECT m.id, CASE WHEN l.id IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(l.importance, m.importance, 0) AS importance, coalesce(l.content, m.content) AS content,
-  CASE WHEN l.id IS NULL THEN coalesce(m.metadata, '') ELSE array_to_string(list_sort(regexp_split_to_array(coalesce(g.pairs, ''), '[\\[\\]{},&]')), ',') END AS metadata
+  CASE WHEN l.id IS NULL THEN coalesce(m.metadata, '') ELSE array_to_string(list_sort(list_transform(regexp_split_to_array(coalesce(g.pairs, ''), '[\\[\\]{},&]'), lambda x: regexp_replace(x, '(\\.[0-9]*[1-9])0+$|\\.0+$', '\\1'))), ',') END AS metadata
 FROM m LEFT JOIN k ON k.id = m.id LEFT JOIN last l ON k.namespace = l.namespace AND k.content_hash = l.content_hash LEFT JOIN merged g ON g.id = m.id
 UNION ALL SELECT l.id, 'inserted', l.importance, l.content, l.metadata FROM last l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.namespace = l.namespace AND k.content_hash = l.content_hash)"""
 )
 def memory_upsert(spark, d):
-    return writes.upsert_memories(_store(spark, d), _inputs(spark, d), NOW).select("id", "action", F.coalesce("importance", F.lit(0)).alias("importance"), "content", F.coalesce(F.when(F.col("action") == "updated", F.array_join(F.array_sort(F.split(C.json_pairs(F.col("metadata")), r"[\[\]{},&]")), ",")).otherwise(F.col("metadata")), F.lit("")).alias("metadata"))
+    return writes.upsert_memories(_store(spark, d), _inputs(spark, d), NOW).select("id", "action", F.coalesce("importance", F.lit(0)).alias("importance"), "content", F.coalesce(F.when(F.col("action") == "updated", F.array_join(F.array_sort(F.transform(F.split(C.json_pairs(F.col("metadata")), r"[\[\]{},&]"), lambda x: F.regexp_replace(x, r"(\.[0-9]*[1-9])0+$|\.0+$", "$1"))), ",")).otherwise(F.col("metadata")), F.lit("")).alias("metadata"))
 
 
 @query("SELECT m.id, coalesce(m.namespace_id, n.id) AS namespace_id FROM m LEFT JOIN (SELECT uid, min(id) AS id FROM memory_namespaces GROUP BY uid) n ON n.uid = m.namespace")
