@@ -92,7 +92,7 @@ def listing_with_count(memories: DataFrame, user_id: str | None = None, namespac
     """A page as :func:`listing`, each row with the number of all rows; the count is its own aggregate, not a window over one partition."""
     hits = where_equal(active(memories), user_id=user_id, namespace=namespace)
     total = hits.agg(F.count_distinct("id").alias("total_count"))
-    return listing(memories, user_id, namespace, limit, offset).crossJoin(F.broadcast(total))
+    return listing(memories, user_id, namespace, limit, offset).crossJoin(F.broadcast(total)).orderBy(F.desc("created_at"), "id")
 
 
 def count(memories: DataFrame, user_id: str | None = None, namespace: str | None = None) -> DataFrame:
