@@ -2,8 +2,9 @@
 
 Sentences are put together from frames: a phrase of everyday correspondence, forms or logs with one place to fill.
 People, streets, numbers and code names are coined from syllables; the other words come at random from the vocabulary
-of a public tokenizer.  The frames were written from the statement of the problem and general knowledge of the
-languages alone; no table was read for them, and none is read for fitting.
+of a public tokenizer.  No sentence of a table was taken over and no table is read for fitting.  But the frames
+are not blind to the tables: an earlier corpus with such sentences was known when they were written, and they were widened
+(dialogues, key=value, Russian words, phone groupings) after the shapes of spans that a first version missed there.
 
 ``documents(n, seed, words)`` yields lists of (piece, kind); ``kind`` is '' outside of personal information.
 """
