@@ -32,15 +32,25 @@ def source(spark: SparkSession, folder: str, schema: StructType, files_per_trigg
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Everything there is, then stop: the rows of the memory table, or each batch through ``each``.
+    """Everything there is, then stop: the rows of all micro-batches (of the last one in complete mode), or each batch through ``each``.
 
-    Every run starts anew, with a checkpoint and a table of its own.
+    Every run starts anew, with a checkpoint and a folder of its own.  Rows go from the executors to the shared folder,
+    none through the driver; a micro-batch that is tried again replaces what it wrote.
     """
-    own = f"{name}_{uuid.uuid4().hex}"
-    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/stream-{own}")
-    q = w.foreachBatch(each).start() if each else w.format("memory").queryName(own).start()
-    q.awaitTermination()
-    return None if each else stream.sparkSession.table(own)
+    spark, own = stream.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rows-{own}"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch-{n}")
+
+    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(spark)}/stream-{own}")
+    w.foreachBatch(each or keep).start().awaitTermination()
+    if each:
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def first_contents(stream: DataFrame, ts: str = "arrived_at", late: str | None = None) -> DataFrame:

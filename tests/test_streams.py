@@ -56,3 +56,17 @@ def test_cache_ttl(spark, sf):
 
 def test_high_water_mark(spark, sf):
     assert streams.since(spark, f"{sf}/memories.parquet", datetime(2100, 1, 1)).count() == 0
+
+
+def test_rows_of_a_stream_stay_off_the_driver(spark, tmp_path):
+    """Every mode's rows are read back from files; complete mode gives the last batch, the others all of them."""
+    folder = str(tmp_path / "in")
+    spark.sql("SELECT id, timestamp'2026-01-01' + make_interval(0, 0, 0, 0, id) AS ts, id % 3 AS k FROM range(30)").repartition(3).write.parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    r = streams.source(spark, folder, schema, files_per_trigger=1)
+    n = streams.run_once(streams.sessions(r, "ts", "2 hours", ["k"], late="9 days"), "sessions_t", "complete")
+    assert n.inputFiles() and rows(n, "k", "n") == [(k, 1) for k in range(3) for _ in range(10)]
+    every = streams.run_once(r.select("id"), "rows_t")
+    assert every.inputFiles() and rows(every) == sorted(((i,) for i in range(30)), key=lambda x: str(x[0]))
+    (tmp_path / "none").mkdir()
+    assert streams.run_once(streams.source(spark, str(tmp_path / "none"), schema), "none_t").count() == 0
