@@ -12,7 +12,9 @@ Not every suffix has to be stored.  A shared sketch of fixed size holds how freq
 all texts one order, rare first.  Two texts that share half of all their distinct sequences share at least half of
 either's; so if each keeps its first  n - ceil(n / 2) + m  suffixes in that order, the pair has at least m (or all
 its common ones, if fewer) among the kept.  This loses no pair, whatever the sketch says; m > 1 only thins out chance
-candidates.  Inside a bucket 32 bits of the fingerprint are kept: what they confuse is thinned out by m and by the
+candidates.  A pair of x and y sequences must even share  t = ceil((x + y) / 3), so a match counts for it only among the
+first  x - t + m  of the one and  y - t + m  of the other, and not at all if t is more than x or y: this loses no pair
+either, and what is frequent, and would give most chance matches, stands last.  Inside a bucket 32 bits of the fingerprint are kept: what they confuse is thinned out by m and by the
 exact comparison.  A fingerprint more frequent than ``HOT`` is split over several buckets by the history's class id.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomstore.llm.formats import NO_NAMESPACE
 from loomstore.llm.texts import words
-from loomstore.sources.tables import scratch
+from loomstore.sources.tables import drop_scratch, scratch
 
 #: Words of one compared sequence.
 SHINGLE = 3
@@ -43,8 +45,8 @@ MATCHES = 4
 HOT = 50_000
 #: Suffixes of one fingerprint that a text is compared with at first; only texts that stay without a partner see the rest.
 MOST = 1000
-#: Hits of one bucket aimed at in that first turn; where hot fingerprints would give more, fewer of each are compared.
-HITS = 6_000_000
+#: Suffixes that a bucket compares at a time; what cannot be part of a pair is dropped before the next.
+HITS = 2_000_000
 #: Suffixes aimed at per bucket.
 BUCKET_ROWS = 400_000
 
@@ -158,24 +160,24 @@ def _suffix_batches(sketch, buckets: int, new: bool):
             at = np.arange(len(f)) - (np.cumsum(n) - n)[text]
             half = (n + 1) // 2
             kept = at < (n - half + np.minimum(MATCHES, half))[text]
-            text, f, freq = text[kept], f[kept], freq[kept]
+            text, f, freq, at = text[kept], f[kept], freq[kept], at[kept]
             parts = 1 + freq // HOT
-            rows = [(text, f, (cid[text].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64), np.zeros(len(f), dtype=bool))]
+            rows = [(text, f, (cid[text].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64), np.zeros(len(f), dtype=bool), at)]
             if new:
                 which = np.repeat(np.arange(len(f)), parts)
                 turn = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-                rows.append((text[which], f[which], turn, np.ones(len(which), dtype=bool)))
-            for t, k, salt, ask in rows:
+                rows.append((text[which], f[which], turn, np.ones(len(which), dtype=bool), at[which]))
+            for t, k, salt, ask, p in rows:
                 bucket = ((k >> np.uint64(20)) + salt.astype(np.uint64) * _MUL[1]) % np.uint64(buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.astype(np.int32)), pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(cid[t]), pa.array(born[t]), pa.array(half[t].astype(np.int32)), pa.array(ask)],
-                    names=["bucket", "key", "cid", "born", "half", "ask"],
+                    [pa.array(bucket.astype(np.int32)), pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(cid[t]), pa.array(born[t]), pa.array(n[t].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(ask)],
+                    names=["bucket", "key", "cid", "born", "n", "at", "ask"],
                 )
 
     return run
 
 
-SUFFIX = "bucket int, key int, cid long, born long, half int, ask boolean"
+SUFFIX = "bucket int, key int, cid long, born long, n int, at int, ask boolean"
 
 
 def suffixes(texts: DataFrame, sketch, buckets: int, new: bool) -> DataFrame:
@@ -193,26 +195,20 @@ def bucket_hits(batch_rows: int, most: int | None):
     """For one bucket: batches in the order of arrival, each looked up in the segments before it and in itself.
 
     An interval of more than ``most`` suffixes gives the ``most`` with the smallest class ids, the same for every
-    fingerprint of a group of near copies, and a row (q, q, -1) that says so.  A bucket that would give more than
-    ``HITS`` halves ``most``; the smaller choice is part of the larger, so buckets agree on what they compare.
+    fingerprint of a group of near copies, and a row (q, q, -1) that says so.  Hits that the lengths of the two texts
+    and the places of the suffix in their order rule out are dropped before they leave the bucket.
     """
 
     def run(table: pa.Table) -> pa.Table:
         key, cid, born = (table.column(c).to_numpy() for c in ("key", "cid", "born"))
-        half, ask = table.column("half").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
+        size, place, ask = table.column("n").to_numpy(), table.column("at").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
         stored = np.flatnonzero(~ask)
         base = stored[born[stored] == 0]
         base = base[np.lexsort((cid[base], key[base]))]
         segments = [(key[base], base)] if len(base) else []
         fresh, asked = stored[born[stored] > 0], np.flatnonzero(ask)
-        limit = most
-        if most is not None:
-            keys = np.sort(key[stored])
-            n = np.searchsorted(keys, key[asked], "right") - np.searchsorted(keys, key[asked], "left")
-            while limit > 8 and np.minimum(n, limit).sum() > HITS:
-                limit //= 2
         fresh, asked = fresh[np.argsort(born[fresh], kind="stable")], asked[np.argsort(born[asked], kind="stable")]
-        out_q, out_h, cut = [], [], []
+        out_q, out_h, out_n, cut = [], [], [], []
         a = s = 0
         while a < len(asked):
             last = born[asked[min(a + batch_rows, len(asked)) - 1]]
@@ -222,15 +218,24 @@ def bucket_hits(batch_rows: int, most: int | None):
             for keys, rows in [*segments, (key[own], own)]:
                 lo, hi = np.searchsorted(keys, key[q], "left"), np.searchsorted(keys, key[q], "right")
                 n = hi - lo
-                if limit is not None and (n > limit).any():
-                    cut.append(q[n > limit])
-                    n = np.minimum(n, limit)
-                which = np.repeat(np.arange(len(q)), n)
-                at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-                h, qq = rows[at], q[which]
-                before = born[h] < born[qq]
-                out_q.append(qq[before])
-                out_h.append(h[before])
+                if most is not None and (n > most).any():
+                    cut.append(q[n > most])
+                    n = np.minimum(n, most)
+                done, first = np.cumsum(n), 0
+                while first < len(q):
+                    # as many questions as give HITS suffixes, and one at least
+                    to = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + HITS, "right")))
+                    some = n[first:to]
+                    which = np.repeat(np.arange(first, to), some)
+                    at = np.arange(len(which)) - np.repeat(np.cumsum(some) - some, some) + lo[which]
+                    h, qq = rows[at], q[which]
+                    both = (size[h] + size[qq] + 2) // 3
+                    need = np.minimum(MATCHES, both)
+                    use = (born[h] < born[qq]) & (both <= np.minimum(size[h], size[qq])) & (place[h] < size[h] - both + need) & (place[qq] < size[qq] - both + need)
+                    out_q.append(qq[use])
+                    out_h.append(h[use])
+                    out_n.append(need[use])
+                    first = to
             if len(own):
                 segments.append((key[own], own))
             while len(segments) > 2 and len(segments[-1][0]) * 2 > len(segments[-2][0]):
@@ -239,7 +244,7 @@ def bucket_hits(batch_rows: int, most: int | None):
             a, s = a2, s2
         q = np.concatenate(out_q) if out_q else np.empty(0, np.int64)
         h = np.concatenate(out_h) if out_h else np.empty(0, np.int64)
-        need = np.minimum(MATCHES, np.minimum(half[q], half[h]))
+        need = np.concatenate(out_n) if out_n else np.empty(0, np.int32)
         more = np.unique(cid[np.concatenate(cut)]) if cut else np.empty(0, np.int64)
         return pa.table({"q": np.concatenate([cid[q], more]), "h": np.concatenate([cid[h], more]), "need": np.concatenate([need, np.full(len(more), -1)]).astype(np.int32)})
 
@@ -265,6 +270,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("q"), b.column("h")], names=["q", "h"]).filter(pa.array(near, pa.bool_()))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """:func:`scratch`, after which the shuffle files that ``df`` was made from are removed: they would be kept to the end."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return scratch(df, name)
+    finally:
+        conf.set(key, before)
+
+
 @dataclass
 class History:
     """Everything accepted so far: its classes, the shared frequency sketch, and its stored suffixes.
@@ -281,7 +297,7 @@ class History:
     def open(cls, records: DataFrame, store: bool = True) -> "History":
         """Index ``records`` (content, namespace); ``store`` writes the suffixes for use by several checks."""
         spark = records.sparkSession
-        own = scratch(classes(text_rows(records)), "classes")
+        own = _written(classes(text_rows(records)), "classes")
         sketch = frequency_sketch(own)
         buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(sketch.sum()) // BUCKET_ROWS)
         s = suffixes(own, spark.sparkContext.broadcast(sketch), buckets, new=False)
@@ -295,17 +311,17 @@ class History:
         """
         spark = batch.sparkSession
         rows = text_rows(batch, F.col("input_id"))
-        own = scratch(classes(rows), "batch")
-        new = scratch(own.join(self.classes.select("cid"), "cid", "left_anti"), "new")
+        own = _written(classes(rows), "batch")
+        new = _written(own.join(self.classes.select("cid"), "cid", "left_anti"), "new")
         sketch = spark.sparkContext.broadcast(self.sketch)
         texts = self.classes.select("cid", "words").unionByName(new.select("cid", "words"))
 
         def compared(asking: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-            """(near_cid of texts with a near partner, q of those that were not compared with all)."""
+            """(near_cid of texts with a near partner, q of those that were not compared with all), written."""
             stored = self.suffixes.unionByName(suffixes(new, sketch, self.buckets, new=False))
             asked = suffixes(asking, sketch, self.buckets, new=True).where("ask")
             hits = stored.unionByName(asked).groupBy("bucket").applyInArrow(bucket_hits(batch_rows, most), "q long, h long, need int")
-            pairs = scratch(hits.groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need OR need < 0").select("q", "h", "need"), "pairs")
+            pairs = _written(hits.groupBy("q", "h").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need OR need < 0").select("q", "h", "need"), "pairs")
             near = (
                 pairs.where("need >= 0").join(new.select(F.col("cid").alias("q"), F.col("words").alias("q_words")), "q")
                 .join(texts.select(F.col("cid").alias("h"), F.col("words").alias("h_words")), "h")
@@ -313,11 +329,12 @@ class History:
                 .mapInArrow(_compare, "q long, h long")
                 .groupBy(F.col("q").alias("near_cid")).agg(F.lit(True).alias("near"))
             )
-            return near, pairs.where("need < 0").select("q").distinct()
+            near = _written(near, "near")
+            rest = _written(pairs.where("need < 0").select("q").distinct().join(near, F.col("q") == F.col("near_cid"), "left_anti"), "rest")
+            drop_scratch(pairs)
+            return near, rest
 
         near, rest = compared(new, MOST)
-        near = scratch(near, "near")
-        rest = scratch(rest.join(near, F.col("q") == F.col("near_cid"), "left_anti"), "rest")
         if not rest.isEmpty():
             asking = new.join(rest.select(F.col("q").alias("cid")), "cid", "left_semi")
             near = near.unionByName(compared(asking, None)[0])
@@ -328,6 +345,6 @@ class History:
     def accept(self, batch: DataFrame) -> "History":
         """History with ``batch`` added as one more immutable segment; nothing stored is written again."""
         spark = batch.sparkSession
-        own = scratch(classes(text_rows(batch)).join(self.classes.select("cid"), "cid", "left_anti"), "classes")
+        own = _written(classes(text_rows(batch)).join(self.classes.select("cid"), "cid", "left_anti"), "classes")
         s = scratch(suffixes(own, spark.sparkContext.broadcast(self.sketch), self.buckets, new=False), "suffixes")
         return History(self.classes.unionByName(own), self.sketch, self.buckets, self.suffixes.unionByName(s))

@@ -89,3 +89,18 @@ def test_copies_empty_and_long(spark):
     got = {r.input_id for r in History.open(empty, store=False).known(n).collect()}
     assert got == set(range(2, 200)) | {201}
     assert History.open(empty, store=False).known(n.limit(0)).count() == 0
+
+
+def test_hits_that_cannot_be_pairs_stay_in_the_bucket():
+    """Texts of 40 sequences that share only late, frequent ones, or texts of very unlike length, give no hits; near copies do."""
+    import pyarrow as pa
+
+    def rows(*r):
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("bucket", "key", "cid", "born", "n", "at", "ask"), zip(*r), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))})
+
+    late = rows(*[(0, k, 1, 0, 40, at, False) for k, at in ((1, 20), (2, 21))], *[(0, k, 2, 5, 40, at, True) for k, at in ((1, 20), (2, 21))])
+    assert H.bucket_hits(10, None)(late).num_rows == 0
+    unlike = rows((0, 1, 1, 0, 90, 0, False), (0, 1, 2, 5, 40, 0, True))
+    assert H.bucket_hits(10, None)(unlike).num_rows == 0
+    early = rows(*[(0, k, 1, 0, 40, k, False) for k in range(4)], *[(0, k, 2, 5, 40, k, True) for k in range(4)])
+    assert H.bucket_hits(10, None)(early).to_pylist() == [{"q": 2, "h": 1, "need": 4}] * 4
