@@ -6,8 +6,11 @@ their end; times are without zone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,40 +51,155 @@ def alerts(log: DataFrame, rules: DataFrame, bounds: Sequence[float], width_s: i
     the metric's values by ``bounds``, and ``age`` the seconds from the last value to the window's end.  ``label``, where
     not null, keeps one label's rows; else every label is a series (``label`` of the log; null as '').  An alert holds
     where the measure has been above ``limit`` (``above``; else below it) at every step since ``for_s`` seconds.  A window
-    without rows has no measure and breaks a run.  Rules are a small table and are broadcast.
+    without rows has no measure and breaks a run.  Rules are a small table and are collected.
+
+    Rows are summed per step in the map tasks; a series' steps then meet sorted in one task, which goes through them once
+    with all rules (:func:`_alert_batches`).  Neither windows nor measures are shuffled.
     """
-    step = (F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) / step_s) * step_s).cast("long")
+    own = [r.asDict() for r in rules.select("rule", "kind", "metric", "part", "label", "above", "limit", "for_s").collect()]
+    used = sorted({m for r in own for m in (r["metric"], r["part"]) if m is not None})
+    step = (F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) / step_s)).cast("long")
     les = F.array(*[F.lit(float(b)) for b in bounds])
-    rows = log.select(
-        F.coalesce("label", F.lit("")).alias("series"), "metric", "value", step.alias("step"), F.size(F.filter(les, lambda b: b < F.col("value"))).alias("bucket"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("sec"),
-    ).where(F.col("value").isNotNull())
-    steps = rows.groupBy("series", "metric", "step", "bucket").agg(F.sum("value").alias("total"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n"), F.max("sec").alias("last"))
-    spread = steps.withColumn("at", F.explode(F.sequence(F.col("step"), F.col("step") + (width_s - step_s), F.lit(step_s).cast("long"))))
-    cells = spread.groupBy("series", "metric", "at", "bucket").agg(F.sum("total").alias("total"), F.max("top").alias("top"), F.sum("n").alias("n"), F.max("last").alias("last"))
-    named = rules.select("rule", "kind", F.col("metric").alias("rule_metric"), "part", F.col("label").alias("only"), "above", "limit", "for_s")
-    same = (F.col("metric") == F.col("rule_metric")) | (F.col("metric") == F.col("part"))
-    used = cells.join(F.broadcast(named), same & (F.col("only").isNull() | (F.col("only") == F.col("series"))))
-    main, other = F.col("metric") == F.col("rule_metric"), F.col("metric") == F.col("part")
-    m = used.groupBy("rule", "kind", "above", "limit", "for_s", "series", "at").agg(
-        F.sum(F.when(main, F.col("total"))).alias("total"), F.sum(F.when(other, F.col("total"))).alias("part_total"), F.max(F.when(main, F.col("top"))).alias("top"), F.max(F.when(other, F.col("top"))).alias("part_top"),
-        F.max(F.when(main, F.col("last"))).alias("last"), F.map_from_entries(F.collect_list(F.when(main, F.struct("bucket", "n")))).alias("h"),
-    )
-    every = F.sequence(F.lit(0), F.lit(len(bounds)))
-    counts = F.transform(every, lambda i: F.coalesce(F.try_element_at("h", i), F.lit(0).cast("long")))
-    run = F.transform(every, lambda i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    m = m.withColumn("run", run).withColumn("k", F.size(F.filter("run", lambda x: x < F.lit(0.95) * F.element_at(F.col("run"), -1))))
-    rank, k = F.lit(0.95) * F.element_at("run", -1), F.col("k")
-    low, high = F.when(k > 0, F.get(les, k - 1)).otherwise(0.0), F.get(les, k)
-    base = F.when(k > 0, F.get("run", k - 1)).otherwise(0)
-    p95 = F.when(F.element_at("run", -1) > 0, F.coalesce(low + (high - low) * F.try_divide(rank - base, F.get("run", k) - base), low))
-    measure = (
-        F.when(F.col("kind") == "rate", F.col("total") / F.lit(float(width_s)))
-        .when(F.col("kind") == "ratio", F.try_divide(F.coalesce("part_total", F.lit(0.0)), F.coalesce("total", F.lit(0.0)) + F.coalesce("part_total", F.lit(0.0))))
-        .when(F.col("kind") == "gauge", F.col("top")).when(F.col("kind") == "gauge_ratio", F.try_divide("top", "part_top"))
-        .when(F.col("kind") == "p95", p95).when(F.col("kind") == "age", F.col("at") - F.col("last"))
+    rows = log.where(F.col("value").isNotNull() & F.col("ts").isNotNull() & F.col("metric").isin(used)).select(
+        F.coalesce("label", F.lit("")).alias("series"), "metric", F.col("value").cast("double").alias("value"), step.alias("step"), F.size(F.filter(les, lambda b: b < F.col("value"))).alias("bucket"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("sec"),
     )
-    states = m.withColumn("measure", measure).where(F.col("measure").isNotNull()).withColumn("firing", F.when(F.col("above"), F.col("measure") > F.col("limit")).otherwise(F.col("measure") < F.col("limit")))
-    return holds(states, ["rule", "series"], F.col("for_s"), step_s).select("rule", "series", "at", "measure", "alert")
+    steps = rows.groupBy("series", "metric", "step", "bucket").agg(F.sum("value").alias("total"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n"), F.max("sec").alias("last"))
+    return steps.repartition("series").sortWithinPartitions("series", "step").mapInArrow(_alert_batches(own, used, [float(b) for b in bounds], width_s, step_s), "rule string, series string, at long, measure double, alert boolean")
+
+
+#: Rows of steps that one turn of :func:`_alert_batches` takes.
+STEPS_AT_ONCE = 100_000
+
+
+def _alert_batches(rules: list[dict], metrics: list[str], bounds: list[float], width_s: int, step_s: int):
+    """Steps (series, metric, step, bucket, total, top, n, last) sorted by series and step to the rows of :func:`alerts`.
+
+    A turn takes a bounded number of steps, be it of many series or of a part of one; of a series that goes on, the steps
+    that later windows need and the state of each rule are kept for the next turn.
+    """
+    spread = max((width_s - step_s) // step_s + 1, 1)
+    les = np.array(bounds, dtype=float)
+
+    def p95(h: np.ndarray) -> np.ndarray:
+        run = np.cumsum(h, axis=1)
+        rank = 0.95 * run[:, -1]
+        k = (run < rank[:, None]).sum(axis=1)
+        i = np.arange(len(h))
+        base = np.where(k > 0, run[i, np.maximum(k - 1, 0)], 0)
+        edges = np.concatenate([[0.0], les])
+        low = edges[k]
+        high = np.concatenate([les, [np.nan]])[k]
+        inside = low + (high - low) * (rank - base) / (run[i, k] - base)
+        return np.where(k < len(les), inside, low)
+
+    def turn(t: pa.Table, since: int | None, until: int | None, state: list) -> Iterator[pa.RecordBatch]:
+        """Windows of ``t``: of its first series those from ``since`` on, of its last those before ``until``."""
+        names = t.column("series").combine_chunks().dictionary_encode()
+        sid, names = names.indices.to_numpy(), names.dictionary
+        metric = pa.compute.index_in(t.column("metric"), pa.array(metrics)).to_numpy()
+        step, bucket, total, top, n, last = (t.column(c).to_numpy() for c in ("step", "bucket", "total", "top", "n", "last"))
+        row = np.tile(np.arange(len(step)), spread)
+        at = step[row] + np.repeat(np.arange(spread), len(step))
+        keep = np.ones(len(row), dtype=bool)
+        if since is not None:
+            keep &= (sid[row] > 0) | (at >= since)
+        if until is not None:
+            keep &= (sid[row] < len(names) - 1) | (at < until)
+        row, at = row[keep], at[keep]
+        first, span = (int(at.min()), int(at.max() - at.min()) + 1) if len(at) else (0, 1)
+        point = sid[row].astype(np.int64) * span + (at - first)
+        order = np.argsort(point, kind="stable")
+        row, point = row[order], point[order]
+        points, place = np.unique(point, return_inverse=True)
+        p_sid, p_at = points // span, points % span + first
+        cells = {}
+        for m in range(len(metrics)):
+            mine = np.flatnonzero(metric[row] == m)
+            where, cut = np.unique(place[mine], return_index=True)
+            r = row[mine]
+            if len(where):
+                h = np.bincount(np.searchsorted(where, place[mine]) * (len(les) + 1) + bucket[r], weights=n[r], minlength=len(where) * (len(les) + 1)).reshape(len(where), -1)
+                cells[metrics[m]] = where, np.add.reduceat(total[r], cut), np.maximum.reduceat(top[r], cut), np.maximum.reduceat(last[r], cut), h
+        none = np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0), np.empty((0, len(les) + 1))
+
+        def full(c: tuple, i: int, where: np.ndarray, missing: float) -> np.ndarray:
+            out = np.full(len(points), missing)
+            out[c[0]] = c[i]
+            return out[where]
+
+        tail = len(names) - 1
+        for i, rule in enumerate(rules):
+            main, part, kind = cells.get(rule["metric"], none), cells.get(rule["part"], none), rule["kind"]
+            where = main[0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                if kind == "rate":
+                    measure = main[1] / float(width_s)
+                elif kind == "ratio":
+                    where = np.union1d(main[0], part[0])
+                    x = full(part, 1, where, 0.0)
+                    whole = full(main, 1, where, 0.0) + x
+                    where, measure = where[whole != 0], x[whole != 0] / whole[whole != 0]
+                elif kind == "gauge":
+                    measure = main[2]
+                elif kind == "gauge_ratio":
+                    where, a, b = np.intersect1d(main[0], part[0], assume_unique=True, return_indices=True)
+                    x, y = main[2][a], part[2][b]
+                    where, measure = where[y != 0], x[y != 0] / y[y != 0]
+                elif kind == "p95":
+                    measure = p95(main[4])
+                elif kind == "age":
+                    measure = p_at[where] * step_s - main[3]
+                else:
+                    continue
+            if rule["label"] is not None:
+                mine = np.array([x == rule["label"] for x in names.to_pylist()])[p_sid[where]]
+                where, measure = where[mine], measure[mine]
+            held, state[i] = state[i], state[i] if until is not None and since is not None and tail == 0 else None
+            if not len(where):
+                continue
+            s, at = p_sid[where], p_at[where]
+            firing = ~(measure <= rule["limit"]) if rule["above"] else measure < rule["limit"]  # NaN is above all
+            on = np.zeros(len(at), dtype=bool)
+            on[1:] = (s[1:] == s[:-1]) & (at[1:] == at[:-1] + 1) & firing[:-1]
+            begun = at.copy()
+            if held and since is not None and s[0] == 0 and at[0] == held[0] + 1 and held[1]:
+                begun[0] = held[2]
+            begun = begun[np.maximum.accumulate(np.where(on & firing, 0, np.arange(len(at))))]
+            if until is not None and s[-1] == tail:
+                state[i] = int(at[-1]), bool(firing[-1]), int(begun[-1])
+            alert = firing & ((at - begun) * step_s >= rule["for_s"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rule["rule"]], pa.string()).take(pa.array(np.zeros(len(at), np.int32))), names.take(pa.array(s)), pa.array(at * step_s), pa.array(measure), pa.array(alert)], names=["rule", "series", "at", "measure", "alert"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, since, state = [], None, [None] * len(rules)
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size < STEPS_AT_ONCE:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            series = t.column("series").combine_chunks().dictionary_encode().indices.to_numpy()
+            step = t.column("step").to_numpy()
+            new = np.flatnonzero((series[1:] != series[:-1]) | (step[1:] != step[:-1]))
+            if not len(new):
+                continue
+            c = int(new[-1]) + 1
+            goes_on = series[c] == series[c - 1]
+            until = int(step[c]) if goes_on else None
+            yield from turn(t.slice(0, c), since, until, state)
+            rest = t.slice(c)
+            if goes_on:
+                needed = np.flatnonzero((series[:c] == series[c]) & (step[:c] + spread - 1 >= until))
+                if len(needed):
+                    rest = t.slice(int(needed[0]))
+            held, since, size = rest.to_batches(), until, t.num_rows - c
+        if held:
+            yield from turn(pa.Table.from_batches(held).combine_chunks(), since, None, state)
+
+    return run
 
 
 def histogram(log: DataFrame, bounds: Sequence[float], by: Sequence[str], value: str = "value") -> DataFrame:
