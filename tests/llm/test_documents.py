@@ -155,3 +155,12 @@ def test_garble_round_trip():
             for t in CLEAN:
                 assert encodings.restore(encodings.garble(t, *pair), *pair) == t
     assert words("x") == ["x"]
+
+
+def test_model_counts_every_document(spark):
+    """The fit is that of plain counts over all texts, at any length and number, and texts of one kind only don't change it."""
+    texts = [t for _, t in corpus()] + ["plain " * 2000 + "naïve façade"] + ["Größe " + encodings.garble(CLEAN[1], "utf-8", "cp1252", 1)]
+    one = encodings.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    twenty = encodings.fit(spark.createDataFrame([(t,) for t in texts * 30], "text string").repartition(7))
+    assert one.symbols == twenty.symbols and "ï" in one.symbols  # beyond the first 3000 characters
+    assert [bool(f) for f in encodings.label(one, texts)] == [bool(f) for f in encodings.label(twenty, texts)] == [False] * 301 + [True]
